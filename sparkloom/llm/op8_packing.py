@@ -23,6 +23,8 @@ from .common import n_chunks, total_bytes
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ENCODERS: dict = {}
+#: Words remembered by a worker; punctuation that may end a word.
+MOST_WORDS, TAIL = 700_000, b"!#$%&*+,-./:;=?@^_|~"
 
 
 class WordIds(dict):
@@ -33,23 +35,56 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 65536 else np.uint32
+        special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and t.content.startswith("<|") and not (t.single_word or t.lstrip or t.rstrip)]
+        self.between, self.mark = special[-1] if special else ("", None)
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self) + len(words) > 400_000:
+        """Take up words that are not known yet; when there are too many, the others are forgotten.  Case and a tail of punctuation behind a letter need no encoding of their own."""
+        if len(self) + 2 * len(words) > MOST_WORDS:
             self.clear()
-        new = [w for w in words if w not in self]
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for word, found in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-                self[word] = np.array(found.ids, self.kind).tobytes()
-
-    def encode(self, body: bytes) -> bytes:
-        words = body.split()
-        try:
-            return b"".join(map(self.__getitem__, words))
-        except KeyError:
-            self.learn(set(words))
-            return b"".join(map(self.__getitem__, words))
+        split, new = [], set()
+        for word in words:
+            low = word if b"<|" in word else word.lower()  # special tokens are told by their case
+            stem = low.rstrip(TAIL)
+            if len(stem) == len(low) or not stem or not 97 <= stem[-1] <= 122:
+                new.add(low)
+                if low != word:
+                    split.append((word, low, b""))
+            else:
+                tail = low[len(stem) :]
+                split.append((word, stem, tail))
+                new.add(stem)
+                new.add(tail)
+        new = list(new - self.keys())
+        for at in range(0, len(new), 2000):
+            self._encode(new[at : at + 2000])
+        self[b""] = b""
+        for word, stem, tail in split:
+            self[word] = self[stem] + self[tail]
+
+    def _encode(self, words: list[bytes]) -> None:
+        # One text for many words: a special token stands between them, and cuts the text before anything else is done.
+        plain = [w for w in words if b"<|" not in w]
+        if self.mark is not None and plain:
+            ids = np.array(self.tokenizer.encode_batch_fast([self.between.join([w.decode() for w in plain])], add_special_tokens=False)[0].ids, self.kind)
+            cuts = np.flatnonzero(ids == self.mark).tolist()
+            raw, width = ids.tobytes(), ids.itemsize
+            for word, a, b in zip(plain, [0, *[c + 1 for c in cuts]], [*cuts, len(ids)]):
+                self[word] = raw[a * width : b * width]
+            words = [w for w in words if b"<|" in w]
+        for word in words:
+            self[word] = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, self.kind).tobytes()
+
+    def encode_all(self, bodies: list[bytes], end: bytes) -> list[bytes]:
+        texts = [b.split() for b in bodies]
+        found = [list(map(self.get, words)) for words in texts]
+        unknown = {w for words, ids in zip(texts, found) if None in ids for w, i in zip(words, ids) if i is None}
+        if unknown:
+            self.learn(unknown)
+            for words, ids in zip(texts, found):
+                if None in ids:
+                    ids[:] = [self[w] if i is None else i for w, i in zip(words, ids)]
+        return [b"".join(ids) + end for ids in found]
 
 
 def word_ids(path: str) -> WordIds:
@@ -112,7 +147,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, room: int = 4096, end_i
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                bodies = [ids.encode(x) + end for x in part.column("body").to_pylist()]
+                bodies = ids.encode_all(part.column("body").to_pylist(), end)
                 yield pa.RecordBatch.from_arrays([part.column("shard"), part.column("id"), pa.array(bodies, pa.binary())], ["shard", "id", "ids"])
 
     def fill(key, table):
