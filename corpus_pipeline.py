@@ -1,7 +1,59 @@
-"""A corpus pipeline of five stages, each one operator of sparkloom.llm."""
-STAGES = []
+"""A corpus pipeline of five stages, each one operator of sparkloom.llm.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the docs of the
+next.  All but the last return the columns of documents; the last returns the pieces of packed sequences.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkloom.llm.common import settle
+from sparkloom.llm.op2_jaccard import keep_first
+from sparkloom.llm.op3_pii import redact_pii
+from sparkloom.llm.op5_quality import keep_quality
+from sparkloom.llm.op8_packing import pack_documents
+from sparkloom.llm.op9_sparse_suffix import sparse_suffix_dedup
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules, weighed against each other, hold for clean stay."""
+    return keep_quality(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
+    return keep_first(docs, shingle_words=5, percent=80).select(*docs.columns)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that an earlier document holds go from the texts."""
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    found = sparse_suffix_dedup(docs, with_text=True, carry=others)
+    text = F.col("kept").cast("string")
+    return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind."""
+    return redact_pii(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 4096 tokens, balanced by attention cost."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_duplicates), ("suffix-array dedup", passages), ("PII", private), ("packing", packing)]
+
+#: Expectation-maximisation, lexical bootstrapping and packing are no SQL; the tests hold the pipeline against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

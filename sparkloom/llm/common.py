@@ -89,8 +89,8 @@ def n_chunks(size: int, chunk_bytes: int) -> int:
     return max(1, math.ceil(size / chunk_bytes))
 
 
-def in_chunks(docs: DataFrame, id_col: str, text_col: str, chunks: int) -> DataFrame:
-    """(chunk, id, body): a chunk holds the documents whose id hashes to it, so its make-up depends on the data alone.
+def in_chunks(docs: DataFrame, id_col: str, text_col: str, chunks: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(chunk, id, body) and, as c0, c1, ..., the columns to carry: a chunk holds the documents whose id hashes to it, so its make-up depends on the data alone.
 
     Every use of this frame inside one query shares one exchange.  A null id is dealt by its text.
     """
@@ -99,6 +99,7 @@ def in_chunks(docs: DataFrame, id_col: str, text_col: str, chunks: int) -> DataF
         F.coalesce(F.pmod(key, F.lit(chunks)).cast("int"), F.lit(0)).alias("chunk"),
         F.col(id_col).cast("long").alias("id"),
         F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("body"),
+        *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)],
     )
 
 

@@ -170,5 +170,12 @@ def jaccard_join(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_
     )
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, less those whose component holds a smaller id; of rows repeated with one id one stays, rows without id stay."""
+    found = jaccard_join(docs, id_col=id_col, text_col=text_col, **options)
+    first = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(first, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle_words=4, percent=85)

@@ -73,12 +73,12 @@ def _answer_windows(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table(out, schema=pa.schema([("chunk", pa.int32()), ("hashes", pa.binary()), ("ids", pa.binary())]))
 
 
-def remove_repeats(docs: DataFrame, picker: Picker, anchor_words: int, window_words: int, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, chunk_bytes: int = 4 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, picker: Picker, anchor_words: int, window_words: int, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, carry: tuple[str, ...] = (), chunk_bytes: int = 4 << 20) -> DataFrame:
     """One row per row of docs; see the operators for the columns and the defined results."""
     size = total_bytes(docs, text_col)
     chunks = n_chunks(size, chunk_bytes)
     buckets = max(8, n_chunks(size, 4 * chunk_bytes))
-    dealt = in_chunks(docs, id_col, text_col, chunks)
+    dealt = in_chunks(docs, id_col, text_col, chunks, carry)
 
     def send_anchors(key, table):
         words = Words(table)
@@ -112,13 +112,20 @@ def remove_repeats(docs: DataFrame, picker: Picker, anchor_words: int, window_wo
         return pa.table(empty, schema=schema)
 
     def cut(key, table, answers):
-        return _cut(Words(table), answers, window_words, with_text)
+        found = _cut(Words(table), answers, window_words, with_text)
+        for i in range(len(carry)):
+            found = found.append_column(f"c{i}", table[f"c{i}"])
+        return found
 
     sent = dealt.groupBy("chunk").applyInArrow(send_anchors, counting.SENT)
     answers = counting.shared_hashes(sent)
     windows = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(send_windows, "bucket int, chunk int, hashes binary, whose binary, ids binary")
     late = windows.groupBy("bucket").applyInArrow(_answer_windows, "chunk int, hashes binary, ids binary")
-    return dealt.groupBy("chunk").cogroup(late.groupBy("chunk")).applyInArrow(cut, BODY if with_text else RESULT)
+    schema = ", ".join([BODY if with_text else RESULT, *[f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry)]])
+    found = dealt.groupBy("chunk").cogroup(late.groupBy("chunk")).applyInArrow(cut, schema)
+    # Carried columns come back under their names, with an underscore before those that clash.
+    own = [c.split()[0] for c in (BODY if with_text else RESULT).split(", ")]
+    return found.withColumnsRenamed({f"c{i}": f"_{c}" if c in own else c for i, c in enumerate(carry)})
 
 
 def _cut(words: Words, answers: pa.Table, window_words: int, with_text: bool) -> pa.Table:
