@@ -27,7 +27,7 @@ from .common import fold_set, gram_hashes, in_chunks, n_chunks, settle, total_by
 from .components import components
 
 PROFILE = "doc long, n long, tokens binary, b0 long, b1 long, b2 long, b3 long, keys array<long>"
-NEIGHBOURS, RARE, COMBINED = 3, 64, 400
+NEIGHBOURS, ORDERS, RARE, COMBINED = 3, 8, 64, 400
 
 
 def shingles(body: bytes, size: int) -> np.ndarray:
@@ -131,10 +131,19 @@ def link(sets: DataFrame, percent: int, neighbours: int = NEIGHBOURS) -> DataFra
     """(id, component) of the representatives that link with any other."""
     members = ["doc", "n", "b0", "b1", "b2", "b3"]
     index = sets.select(F.explode("keys").alias("key"), *members)
-    ordered = Window.partitionBy("key").orderBy(F.xxhash64("doc"), "doc")
-    near = index.select(F.struct(*members).alias("l"), F.array(*[F.lag(F.struct(*members), r).over(ordered) for r in range(1, neighbours + 1)]).alias("rs"))
-    near = near.select("l", F.explode(F.expr(f"filter(rs, r -> r IS NOT NULL AND r.doc <> l.doc AND {_plausible('l', 'r', percent)})")).alias("r"))
-    pairs = settle(near.select(F.least("l.doc", "r.doc").alias("a"), F.greatest("l.doc", "r.doc").alias("b")).distinct(), "pairs")
+    few = sets.select(F.explode(F.slice(F.sort_array("keys"), 1, ORDERS)).alias("key"), *members)
+
+    def near(lists: DataFrame, order: int) -> DataFrame:
+        ordered = Window.partitionBy("key").orderBy(F.xxhash64("doc", F.lit(order)), "doc")
+        beside = lists.select(F.struct(*members).alias("l"), F.array(*[F.lag(F.struct(*members), r).over(ordered) for r in range(1, neighbours + 1)]).alias("rs"))
+        beside = beside.select("l", F.explode(F.expr(f"filter(rs, r -> r IS NOT NULL AND r.doc <> l.doc AND {_plausible('l', 'r', percent)})")).alias("r"))
+        return beside.select(F.least("l.doc", "r.doc").alias("a"), F.greatest("l.doc", "r.doc").alias("b"))
+
+    # Every list in one order; of each set a few lists, which near copies tend to share, in further orders.
+    found = near(index, 0)
+    for order in range(1, ORDERS + 1):
+        found = found.unionByName(near(few, order))
+    pairs = settle(found.distinct(), "pairs")
     links = _verify(pairs, sets, percent)
     first = settle(components(links), "components")
 
