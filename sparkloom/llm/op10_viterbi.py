@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,26 @@ from .common import settle
 
 SPACE, LITERAL = "▁", "\udfff"  # a space mark in the text itself stands apart: a lone surrogate occurs in no valid text
 NONE = -np.inf
-MOST_UNITS = 300_000
+MOST_UNITS = 600_000
 _LOADED: dict = {}
 
 
+class _Units(dict):
+    """Unit -> its ids as bytes, solved when first asked for; forgets everything when full."""
+
+    def __init__(self, owner):
+        self.owner = owner
+
+    def __missing__(self, text: str) -> bytes:
+        owner = self.owner
+        ids = owner.solve_unit(text)
+        if len(text) <= 64:
+            if len(self) >= MOST_UNITS:
+                self.clear()
+            self[text] = ids
+        return ids
+
+
 class Vocabulary:
     def __init__(self, path: str):
         import sentencepiece
@@ -53,7 +70,16 @@ class Vocabulary:
         self.longest = max(map(len, self.piece), default=1)
         # Whether runs of the space mark begin a unit: the mark stands inside no piece that begins otherwise.
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.piece)
-        self.units: dict[str, tuple[bytes, float]] = {}
+        # The pieces as a tree: a character leads to (score or none, id, what follows).
+        self.tree: dict = {}
+        for p, (score, i) in sorted(self.piece.items()):  # shorter beginnings come first
+            at = self.tree
+            for c in p[:-1]:
+                at = at.setdefault(c, (NONE, -1, {}))[2]
+            at[p[-1]] = (score, i, {})
+        self.scores = np.full(sp.vocab_size(), float(self.floor))
+        self.scores[plain] = [self.piece[self.text[i]][0] for i in plain]
+        self.units = _Units(self)
 
     def prepare(self, text: str) -> str:
         return SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE) if text else ""
@@ -70,7 +96,7 @@ class Vocabulary:
 
         Pieces start before ``until`` and may end behind it.
         """
-        n, find, longest = len(text), self.piece.get, self.longest
+        n, tree = len(text), self.tree
         best, back = [NONE] * (n + 1), [-1] * (n + 1)
         for p, s in start.items():
             if p <= n:
@@ -78,17 +104,16 @@ class Vocabulary:
         for a in range(min(until, n)):
             if (at := best[a]) == NONE:
                 continue
-            one = text[a]
-            for b in range(a + 1, min(n, a + longest) + 1):
-                if (found := find(text[a:b])) is not None:
-                    score = at + found[0]
-                elif b == a + 1:
-                    score = at + self.unknown(one)
-                else:
-                    continue
+            if text[a] not in self.piece and (score := at + self.unknown(text[a])) > best[a + 1]:
+                best[a + 1], back[a + 1] = score, a
+            node = tree
+            for b in range(a, n):
+                if (found := node.get(text[b])) is None:
+                    break
                 # Starts come in ascending order, so the first of equals is the longest piece.
-                if score > best[b]:
-                    best[b], back[b] = score, a
+                if (score := at + found[0]) > best[b + 1]:
+                    best[b + 1], back[b + 1] = score, a
+                node = found[2]
         return best, back
 
     def trace(self, text: str, back: list[int], end: int) -> tuple[list[int], int]:
@@ -103,15 +128,39 @@ class Vocabulary:
         best, back = self.forward(text, {0: 0.0}, len(text))
         return self.trace(text, back, len(text))[0], best[len(text)]
 
+    def solve_unit(self, text: str) -> bytes:
+        """``solve`` for a whole unit, with the ids kept on the way."""
+        n, tree, none = len(text), self.tree, NONE
+        best, back, ids = [none] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        best[0] = 0.0
+        for a in range(n):
+            at, node = best[a], tree
+            if text[a] not in self.piece and (score := at + self.unknown(text[a])) > best[a + 1]:
+                best[a + 1], back[a + 1], ids[a + 1] = score, a, -1
+            for b in range(a, n):
+                found = node.get(text[b])
+                if found is None:
+                    break
+                score, i, node = found
+                score += at
+                if score > best[b + 1]:
+                    best[b + 1], back[b + 1], ids[b + 1] = score, a, i
+        out = []
+        while n:
+            if ids[n] >= 0:
+                out.append(ids[n])
+            else:
+                out += reversed(self.ids_of(text[back[n] : n]))
+            n = back[n]
+        out.reverse()
+        return array("i", out).tobytes()
+
     def unit(self, text: str) -> tuple[bytes, float]:
-        if (found := self.units.get(text)) is None:
-            if len(self.units) >= MOST_UNITS:
-                self.units.clear()
-            ids, score = self.solve(text)
-            found = np.array(ids, np.int32).tobytes(), score
-            if len(text) <= 64:
-                self.units[text] = found
-        return found
+        ids = self.units[text]
+        return ids, self.score(ids)
+
+    def score(self, ids: bytes) -> float:
+        return float(self.scores[np.frombuffer(ids, np.int32)].sum())
 
     def split(self, text: str) -> list[str]:
         """Units of a prepared text."""
@@ -129,10 +178,8 @@ class Vocabulary:
         return out + [run] * bool(run)
 
     def encode(self, text: str) -> tuple[bytes, float]:
-        units = self.split(self.prepare(text))
-        get = self.units.get
-        found = [get(u) or self.unit(u) for u in units]
-        return b"".join([f[0] for f in found]), float(sum([f[1] for f in found]))
+        ids = b"".join(map(self.units.__getitem__, self.split(self.prepare(text))))
+        return ids, self.score(ids)
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.stands_for.__getitem__, ids))[1:]
