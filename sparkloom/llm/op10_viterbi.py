@@ -155,10 +155,6 @@ class Vocabulary:
         out.reverse()
         return array("i", out).tobytes()
 
-    def unit(self, text: str) -> tuple[bytes, float]:
-        ids = self.units[text]
-        return ids, self.score(ids)
-
     def score(self, ids: bytes) -> float:
         return float(self.scores[np.frombuffer(ids, np.int32)].sum())
 
@@ -212,7 +208,7 @@ class Vocabulary:
             for e in range(states):
                 self._row(out[e], self.forward(text, {e: 0.0}, size)[0], size)
             return out
-        middle = sum(self.unit(u)[1] for u in self.split(text[first:last]))
+        middle = self.score(b"".join(map(self.units.__getitem__, self.split(text[first:last]))))
         tail = np.full(states, NONE)
         self._row(tail, self.forward(text[last:], {0: 0.0}, size - last)[0], size - last)
         head = np.array([self.forward(text[:first], {e: 0.0}, first)[0][first] for e in range(states)])
@@ -235,7 +231,7 @@ class Vocabulary:
             ends = [x for x in range(states) if size + x <= len(text) and best[size + x] != NONE]
             return [(x, e, pack(ids)) for x in ends for ids, e in [self.trace(text, back, size + x)]]
         ids, e = self.trace(text[:first], self.forward(text[:first], start, first)[1], first)
-        common = pack(ids) + b"".join(self.unit(u)[0] for u in self.split(text[first:last]))
+        common = pack(ids) + b"".join(map(self.units.__getitem__, self.split(text[first:last])))
         best, back = self.forward(text[last:], {0: 0.0}, size - last)
         return [(x, e, common + pack(self.trace(text[last:], back, size - last + x)[0])) for x in range(states) if size - last + x < len(best) and best[size - last + x] != NONE]
 

@@ -145,17 +145,21 @@ def link(sets: DataFrame, percent: int, neighbours: int = NEIGHBOURS) -> DataFra
         found = found.unionByName(near(few, order))
     pairs = settle(found.distinct(), "pairs")
     links = _verify(pairs, sets, percent)
-    first = settle(components(links), "components")
-
-    root = F.coalesce("component", "doc").alias("root")
-    owned = index.join(first.withColumnRenamed("id", "doc"), "doc", "left").select("key", *members, root)
-    groups = owned.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).getField("root").alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("c").alias("size"))
-    # Lists no longer than the neighbourhood have been compared whole.
-    open_ = settle(groups.where(f"roots > 1 AND size > {neighbours + 1}").select("key", "main"), "open")
-    owned = settle(owned.join(open_, "key"), "owned")
-    across = owned.where("root <> main").alias("l").join(owned.alias("r"), F.expr(f"l.key = r.key AND l.root <> r.root AND (r.root = r.main OR l.doc < r.doc) AND {_plausible('l', 'r', percent)}"))
-    more = across.select(F.least("l.doc", "r.doc").alias("a"), F.greatest("l.doc", "r.doc").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    return components(links.unionByName(_verify(more, sets, percent)))
+
+    def crossing(lists: DataFrame, least: int) -> DataFrame:
+        """Links between components as they stand, of members of one list; lists of fewer than least members have been compared whole."""
+        label = settle(components(links), "components").withColumnRenamed("id", "doc")
+        owned = lists.join(label, "doc", "left").select("key", *members, F.coalesce("component", "doc").alias("root"))
+        groups = owned.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).getField("root").alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("c").alias("size"))
+        open_ = settle(groups.where(f"roots > 1 AND size >= {least}").select("key", "main"), "open")
+        owned = settle(owned.join(open_, "key"), "owned")
+        across = owned.where("root <> main").alias("l").join(owned.alias("r"), F.expr(f"l.key = r.key AND l.root <> r.root AND (r.root = r.main OR l.doc < r.doc) AND {_plausible('l', 'r', percent)}"))
+        return _verify(across.select(F.least("l.doc", "r.doc").alias("a"), F.greatest("l.doc", "r.doc").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), sets, percent)
+
+    # First where a pair meets in few lists, so that hardly any component is left to cross in all of them.
+    links = links.unionByName(crossing(few, 2))
+    links = links.unionByName(crossing(index, neighbours + 2))
+    return components(links)
 
 
 def jaccard_join(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20) -> DataFrame:
