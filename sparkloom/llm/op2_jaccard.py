@@ -26,8 +26,10 @@ from . import counting
 from .common import fold_set, gram_hashes, in_chunks, n_chunks, settle, total_bytes, word_hashes
 from .components import components
 
-PROFILE = "doc long, n long, tokens binary, b0 long, b1 long, b2 long, b3 long, keys array<long>"
-NEIGHBOURS, ORDERS, RARE, COMBINED = 3, 8, 64, 400
+#: Longs of the bitmap that neighbours are compared by, and of that used across components.
+NARROW, WIDE = 4, 16
+PROFILE = ", ".join(["doc long, n long, tokens binary", *[f"b{i} long" for i in range(NARROW)], *[f"w{i} long" for i in range(WIDE)], "keys array<long>"])
+NEIGHBOURS, ORDERS, RARE, COMBINED = 3, 6, 64, 400
 
 
 def shingles(body: bytes, size: int) -> np.ndarray:
@@ -62,9 +64,9 @@ def index_keys(tokens: np.ndarray, counts: np.ndarray, percent: int, rare: int =
     return np.concatenate(found)
 
 
-def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """Parity of the tokens at each of 256 places: two bitmaps differ in no more places than the sets in tokens."""
-    bits = np.bincount((tokens >> np.uint64(17)).astype(np.int64) & 255, minlength=256).astype(np.uint8) & 1
+def bitmap(tokens: np.ndarray, longs: int) -> np.ndarray:
+    """Parity of the tokens at each of 64 * longs places: two bitmaps differ in no more places than the sets in tokens."""
+    bits = np.bincount((tokens >> np.uint64(17)).astype(np.int64) & (64 * longs - 1), minlength=64 * longs).astype(np.uint8) & 1
     return np.packbits(bits).view(np.int64)
 
 
@@ -94,7 +96,7 @@ def profiles(dealt: DataFrame, firsts: DataFrame, size: int, percent: int, bucke
         rows = {x.split()[0]: [] for x in PROFILE.split(", ")}
         for doc, tokens in sets:
             c = counts[np.searchsorted(h48, tokens >> np.uint64(16))]
-            b = bitmap(tokens).tolist()
+            b = [*bitmap(tokens, NARROW).tolist(), *bitmap(tokens, WIDE).tolist()]
             for name, value in zip(rows, (doc, len(tokens), tokens[c > 1].tobytes(), *b, index_keys(tokens, c, percent))):
                 rows[name].append(value)
         return pa.table({k: pa.array(v, pa.binary() if k == "tokens" else pa.list_(pa.int64()) if k == "keys" else pa.int64()) for k, v in rows.items()})
@@ -105,9 +107,9 @@ def profiles(dealt: DataFrame, firsts: DataFrame, size: int, percent: int, bucke
     return settle(dealt.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(profile, PROFILE), "profiles")
 
 
-def _plausible(a: str, b: str, percent: int) -> str:
+def _plausible(a: str, b: str, percent: int, bits: str = "b", longs: int = NARROW) -> str:
     """SQL: sizes and bitmaps leave room for the similarity asked for."""
-    differ = " + ".join(f"bit_count({a}.b{i} ^ {b}.b{i})" for i in range(4))
+    differ = " + ".join(f"bit_count({a}.{bits}{i} ^ {b}.{bits}{i})" for i in range(longs))
     most = f"floor(({a}.n + {b}.n - ({differ})) / 2)"
     return f"(100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) AND 100 * {most} >= {percent} * ({a}.n + {b}.n - {most}))"
 
@@ -129,7 +131,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def link(sets: DataFrame, percent: int, neighbours: int = NEIGHBOURS) -> DataFrame:
     """(id, component) of the representatives that link with any other."""
-    members = ["doc", "n", "b0", "b1", "b2", "b3"]
+    members = ["doc", "n", *[f"b{i}" for i in range(NARROW)]]
+    wide = sets.select("doc", "n", *[f"w{i}" for i in range(WIDE)])
     index = sets.select(F.explode("keys").alias("key"), *members)
     few = sets.select(F.explode(F.slice(F.sort_array("keys"), 1, ORDERS)).alias("key"), *members)
 
@@ -146,20 +149,29 @@ def link(sets: DataFrame, percent: int, neighbours: int = NEIGHBOURS) -> DataFra
     pairs = settle(found.distinct(), "pairs")
     links = _verify(pairs, sets, percent)
 
-    def crossing(lists: DataFrame, least: int) -> DataFrame:
+    def crossing(lists: DataFrame, label: DataFrame, least: int) -> DataFrame:
         """Links between components as they stand, of members of one list; lists of fewer than least members have been compared whole."""
-        label = settle(components(links), "components").withColumnRenamed("id", "doc")
-        owned = lists.join(label, "doc", "left").select("key", *members, F.coalesce("component", "doc").alias("root"))
+        owned = lists.select("key", "doc").join(label.withColumnRenamed("id", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("root"))
         groups = owned.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).getField("root").alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("c").alias("size"))
         open_ = settle(groups.where(f"roots > 1 AND size >= {least}").select("key", "main"), "open")
-        owned = settle(owned.join(open_, "key"), "owned")
-        across = owned.where("root <> main").alias("l").join(owned.alias("r"), F.expr(f"l.key = r.key AND l.root <> r.root AND (r.root = r.main OR l.doc < r.doc) AND {_plausible('l', 'r', percent)}"))
+        owned = settle(owned.join(open_, "key").join(wide, "doc"), "owned")
+        across = owned.where("root <> main").alias("l").join(owned.alias("r"), F.expr(f"l.key = r.key AND l.root <> r.root AND (r.root = r.main OR l.doc < r.doc) AND {_plausible('l', 'r', percent, 'w', WIDE)}"))
         return _verify(across.select(F.least("l.doc", "r.doc").alias("a"), F.greatest("l.doc", "r.doc").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), sets, percent)
 
+    label = settle(components(links), "components")
     # First where a pair meets in few lists, so that hardly any component is left to cross in all of them.
-    links = links.unionByName(crossing(few, 2))
-    links = links.unionByName(crossing(index, neighbours + 2))
-    return components(links)
+    label = settle(merged(label, crossing(few, label, 2)), "components")
+    return merged(label, crossing(index, label, neighbours + 2))
+
+
+def merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """label (id, component) after further links; only their components' smallest members are linked anew."""
+    of = lambda c, r: label.select(F.col("id").alias(c), F.col("component").alias(r))
+    roots = links.join(of("a", "ra"), "a", "left").join(of("b", "rb"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    joined = settle(components(roots), "joined")
+    new = joined.select("id", F.col("id").alias("component")).join(label, "id", "left_anti")
+    up = joined.select(F.col("id").alias("component"), F.col("component").alias("up"))
+    return label.unionByName(new).join(up, "component", "left").select("id", F.coalesce("up", "component").alias("component"))
 
 
 def jaccard_join(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20) -> DataFrame:
