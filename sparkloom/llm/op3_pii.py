@@ -199,12 +199,11 @@ def redact_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def redact(text, spans):
         import pandas as pd
 
-        return pd.Series([_redacted(t, s) for t, s in zip(text, spans)])
+        return pd.Series([t if s is None else _redacted(t, s) for t, s in zip(text, spans)], dtype=object)
 
+    # One join, so texts are shuffled once.
     joined = rows.join(spans, "pii_row", "left")
-    plain = joined.where("pii_spans is null").select(*docs.columns)
-    changed = joined.where("pii_spans is not null").withColumn(text_col, redact(F.col(text_col), F.col("pii_spans"))).select(*docs.columns)
-    return plain.unionByName(changed)
+    return joined.withColumn(text_col, redact(F.col(text_col), F.col("pii_spans"))).select(*docs.columns)
 
 
 def _redacted(text: str, spans) -> str:
