@@ -65,8 +65,8 @@ def neighbours(queries: DataFrame, train: DataFrame, key: str, vector: str, k: i
 
 def neighbours_sql(queries: DataFrame, train: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """``neighbours`` in DataFrame functions alone, for query sets that are small."""
-    q = queries.select(F.col(key).alias("qid"), F.col(vector).alias("qv"))
-    t = train.select(F.col(key).alias("tid"), F.col(vector).alias("tv"))
+    q = queries.select(F.col(key).alias("qid"), V.doubles(vector).alias("qv"))
+    t = train.select(F.col(key).alias("tid"), V.doubles(vector).alias("tv"))
     d = F.greatest(F.round(V.cosine_distance(F.col("qv"), F.col("tv")), 9), F.lit(0.0))
     return _ranked(q.crossJoin(t).select("qid", "tid", d.alias("d")), k)
 
