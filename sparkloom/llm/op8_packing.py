@@ -6,12 +6,15 @@ costs ``linear * n + quadratic * n * n``.  Only when no sequence has room for a
 a shard pads fewer tokens than one sequence holds.
 
 Defined results.  Null or empty text: the end id alone.  Null ids and repeated rows: each row is packed for itself.
-Empty table: no rows.  A very long text becomes many whole sequences.  Other columns of the input are not read.
+Empty table: no rows.  A very long text becomes many whole sequences.  Other columns of the input are not read.  Ids equal
+the tokenizer library's for every text; a vocabulary with other splitting rules than ``TextIds.RULE`` goes word by word.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
+import re
 import zlib
 
 import numpy as np
@@ -87,12 +90,192 @@ class WordIds(dict):
         return [b"".join(ids) + end for ids in found]
 
 
-def word_ids(path: str) -> WordIds:
+class TextIds:
+    """Whole texts -> their ids, several texts in one pass.
+
+    Lower-casing and splitting into runs are array operations here; only the merges are left to a library.  A run's last
+    byte becomes a symbol of its own, which stands for the byte with the end-of-word mark, so one string holds all runs of
+    many texts and the library cuts it behind each such symbol.  Ids are merge ranks and each id's own bytes merge to it,
+    so merging neighbours by the rank of their union equals merging listed pairs.  Texts with characters beyond Latin
+    Extended-B, controls or special tokens, and runs of more than ``LONGEST`` symbols, go word by word instead.
+    """
+
+    CHARS, ROOM, LONGEST = 0x250, 1 << 19, 1000
+    LETTER, NUMBER, SPACE, OTHER, MARK = range(5)
+    #: Fixed values of the vocabulary file: its splitting rule and its normalizers.
+    RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+
+    def __init__(self, path: str):
+        self.words = WordIds(path)
+        self.kind = self.words.kind
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        vocab, merges = told["model"].get("vocab", {}), told["model"].get("merges", [])
+        self.encoding = None
+        try:
+            known = told["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] == self.RULE
+            known &= [n["type"] for n in told["normalizer"]["normalizers"]] == self.NORMALIZERS
+        except (KeyError, TypeError, IndexError):
+            known = False
+        places = [vocab.get("".join(m)) for m in merges] if known and told["model"].get("end_of_word_suffix") == "</w>" else [None]
+        self.mark = self.words.tokenizer.get_vocab_size() + 1
+        if None not in places and places == sorted(places) and self.mark + 200 < np.iinfo(self.kind).max:
+            self._prepare(vocab)
+
+    def _prepare(self, vocab: dict) -> None:
+        import regex
+        import tiktoken
+
+        letters, signs = range(97, 123), [b for b in range(33, 127) if not chr(b).isalnum()]
+        inner = {b: bytes([b]) for b in letters} | {b: bytes([i]) for i, b in enumerate(signs)}
+        last = {b: bytes([b - 32]) for b in letters} | {b: bytes([b]) for b in (*signs, *range(48, 58))}
+        for b in range(128, 256):
+            inner[b], last[b] = chr(0x80 + b).encode(), chr(0x180 + b).encode()
+        # The file writes bytes as characters: printable Latin-1 stands for itself, the others follow from 256 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+        ranks = {}
+        for token, i in vocab.items():
+            ends = token.endswith("</w>") and len(token) > 4
+            raw = [byte_of[c] for c in (token[:-4] if ends else token)]
+            parts = [inner.get(b) for b in (raw[:-1] if ends else raw)] + ([last.get(raw[-1])] if ends else [])
+            if None not in parts:  # others hold symbols that no text can give
+                ranks[b"".join(parts)] = i
+        ranks[b" "] = self.mark
+        for i, b in enumerate([0xC4, 0xC5, 0xC8, 0xC9, *range(0x80, 0xC0)]):  # halves of symbols, joined before any merge
+            ranks[bytes([b])] = self.mark + 1 + i
+        self.encoding = tiktoken.Encoding("runs", pat_str="[a-z\\x00-\\x1f\u0100-\u017f]*[^a-z\\x00-\\x1f\u0100-\u017f]", mergeable_ranks=ranks, special_tokens={})
+
+        self.lower = np.arange(self.CHARS, dtype=np.uint16)
+        self.classes = np.full(self.CHARS, self.OTHER, np.uint8)
+        self.one, self.four = np.zeros((2, 128), np.uint8), np.zeros((2, self.CHARS, 4), np.uint8)
+        odd = []
+        for c in range(self.CHARS):
+            low = chr(c).lower()
+            if len(low) != 1 or ord(low) >= self.CHARS or (c < 32 and not 9 <= c <= 13) or c == 127:
+                odd.append(c)
+                continue
+            self.lower[c] = ord(low)
+            for kind, rule in enumerate((r"\p{L}", r"\p{N}", r"\s")):
+                if regex.match(rule, low):
+                    self.classes[c] = kind
+            raw = low.encode()
+            for end, table in enumerate((inner, last)):
+                if len(raw) == 1:
+                    self.one[end, ord(low)] = (table.get(raw[0]) or b"?")[0]
+                else:
+                    self.four[end, ord(low)] = list(inner[raw[0]] + table[raw[1]])
+        self.classes[127], self.one[1, 127] = self.MARK, 32
+        self.odd = re.compile("[" + "".join(f"\\u{c:04x}" for c in odd) + f"\\u{self.CHARS:04x}-\U0010ffff]|<\\|")
+
+    def _symbols(self, text: str) -> list[str] | None:
+        """Strings for the library, cut behind whole runs; None where a run is too long.  \\x7f ends a text."""
+        if text.isascii():
+            found = np.frombuffer(text.encode(), np.uint8)
+        else:
+            found = np.frombuffer(text.encode("utf-16-le"), np.uint16)
+        classes, low = self.classes[found], self.lower[found]
+        after = np.append(classes[1:], np.uint8(self.SPACE))
+        final = (classes != after) | (classes == self.NUMBER) | (classes == self.MARK)
+        quote = np.flatnonzero(low == 39)
+        quote = quote[(quote == 0) | (classes[quote - 1] != self.OTHER)]
+        if len(quote):
+            padded = np.append(low, [0, 0])
+            a, b = padded[quote + 1], padded[quote + 2]
+            one = np.isin(a, [ord(c) for c in "stmd"])
+            two = np.isin(a.astype(np.int64) << 16 | b, [ord(x[0]) << 16 | ord(x[1]) for x in ("re", "ve", "ll")])
+            final[quote[one | two]] = False
+            final[quote[one] + 1] = True
+            final[quote[two] + 1] = False
+            final[quote[two] + 2] = True
+        kept = classes != self.SPACE
+        low, final = low[kept], final[kept]
+        if found.itemsize == 1:
+            out = self.one[final.view(np.uint8), low]
+            ends = np.flatnonzero(final) + 1
+        else:
+            wide = low >= 128
+            at = np.cumsum(np.where(wide, 4, 1))
+            out = np.empty(at[-1] if len(at) else 0, np.uint8)
+            thin = ~wide
+            out[at[thin] - 1] = self.one[final[thin].view(np.uint8), low[thin]]
+            first = at[wide] - 4
+            four = self.four[final[wide].view(np.uint8), low[wide]]
+            for j in range(4):
+                out[first + j] = four[:, j]
+            ends = at[final]
+        if len(ends) == 0:
+            return []
+        if np.diff(ends, prepend=0).max() > self.LONGEST:
+            return None
+        raw = out.tobytes()
+        cuts = ends[np.minimum(np.searchsorted(ends, np.arange(self.ROOM, len(raw), self.ROOM)), len(ends) - 1)]
+        cuts = [0, *dict.fromkeys(cuts.tolist()), len(raw)]
+        return [raw[a:b].decode() for a, b in zip(cuts, cuts[1:]) if a < b]
+
+    def _ids(self, text: str) -> np.ndarray | None:
+        parts = self._symbols(text)
+        return None if parts is None else np.concatenate([np.empty(0, self.kind), *[np.array(self.encoding.encode_ordinary(x), self.kind) for x in parts]])
+
+    def _long(self, text: str) -> bytes | None:
+        """A long text, cut at spaces."""
+        parts, at = [], 0
+        while at < len(text):
+            cut = len(text) if len(text) - at <= self.ROOM else text.rfind(" ", at, at + self.ROOM) + 1
+            if cut <= at:
+                return None
+            ids = self._ids(text[at:cut])
+            if ids is None:
+                return None
+            parts.append(ids.tobytes())
+            at = cut
+        return b"".join(parts)
+
+    def encode_all(self, bodies: list[bytes], end: bytes) -> list[bytes]:
+        found: list[bytes | None] = [None] * len(bodies)
+        group, size = [], 0
+        for i, body in enumerate(bodies if self.encoding else ()):
+            text = body.decode()
+            if self.odd.search(text):
+                continue
+            if len(text) > self.ROOM:
+                ids = self._long(text)
+                found[i] = None if ids is None else ids + end
+                continue
+            if size + len(text) > self.ROOM:
+                self._group(group, end, found)
+                group, size = [], 0
+            group.append((i, text))
+            size += len(text) + 1
+        self._group(group, end, found)
+        rest = [i for i, x in enumerate(found) if x is None]
+        for i, ids in zip(rest, self.words.encode_all([bodies[i] for i in rest], end)):
+            found[i] = ids
+        return found
+
+    def _group(self, group: list[tuple[int, str]], end: bytes, found: list) -> None:
+        if not group:
+            return
+        ids = self._ids("\x7f".join(t for _, t in group) + "\x7f")
+        if ids is None:  # a run is too long: find its text
+            for i, text in group:
+                ids = self._ids(text)
+                found[i] = None if ids is None else ids.tobytes() + end
+            return
+        cuts = np.flatnonzero(ids == self.mark).tolist()
+        raw, width, at = ids.tobytes(), ids.itemsize, 0
+        for (i, _), cut in zip(group, cuts):
+            found[i] = raw[at * width : cut * width] + end
+            at = cut + 1
+
+
+def text_ids(path: str) -> TextIds:
     if path not in _ENCODERS:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _ENCODERS[path] = WordIds(path)
+        _ENCODERS[path] = TextIds(path)
     return _ENCODERS[path]
 
 
@@ -142,7 +325,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, room: int = 4096, end_i
     shards = n_chunks(total_bytes(docs, text_col), shard_bytes)
 
     def encode(batches):
-        ids = word_ids(tokenizer_path)
+        ids = text_ids(tokenizer_path)
         end = np.array([end_id], ids.kind).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -151,7 +334,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, room: int = 4096, end_i
                 yield pa.RecordBatch.from_arrays([part.column("shard"), part.column("id"), pa.array(bodies, pa.binary())], ["shard", "id", "ids"])
 
     def fill(key, table):
-        kind = word_ids(tokenizer_path).kind
+        kind = text_ids(tokenizer_path).kind
         order = table.sort_by([("id", "ascending"), ("ids", "ascending")])  # the same packing whatever order rows arrive in
         ids, doc_ids = order["ids"].to_pylist(), order["id"].to_pylist()
         width = np.dtype(kind).itemsize

@@ -267,6 +267,23 @@ def test_packing(spark):
     assert op8_packing.pack_documents(frame(spark, []), WORDS).count() == 0
 
 
+def test_text_ids():
+    """Whole texts at once give the ids of the tokenizer library, token by token and on mixed characters."""
+    from tokenizers import Tokenizer
+
+    t, fast = Tokenizer.from_file(WORDS), op8_packing.TextIds(WORDS)
+    assert fast.encoding
+    rng = random.Random(4)
+    near = ["a", "b", "e", "s", "t", "'", "'s", "'re", "'LL", ".", ",", "!", "1", "23", " ", "\n", "\xa0", "\x85", "é", "É", "ß", "ñ", "ſ", "½", "²", "ª", "«", " the", " running", "ing"]
+    odd = near + ["İ", "e\u0301", "—", "日", "<|", "<|endoftext|>", "\x1f", "\x00", "\x7f"]
+    texts = ["".join(rng.choice(x) for _ in range(rng.randint(0, 30))) for x in (near, odd) for _ in range(4000)]
+    texts += [k[:-4] for k in t.get_vocab() if k.endswith("</w>") and k[:-4].isascii()]  # every id merges from its own letters
+    texts += ["a" * 5000 + " b", "word " * 200_000, "x" * 600_000, "é" * 900 + " É"]
+    got = fast.encode_all([x.encode() for x in texts], b"")
+    for text, ids, want in zip(texts, got, t.encode_batch_fast(texts, add_special_tokens=False)):
+        assert np.frombuffer(ids, fast.kind).tolist() == want.ids, text[:80]
+
+
 def test_viterbi(spark):
     rng = random.Random(1)
     texts = [None, "", "a", " a", "▁x ▁", " " * 30, " lead  two   three ", "é\n\tß漢字🙂 x", "abcabcabc" * 40, "x" * 500, "the quick  brown fox " * 30]
