@@ -1,10 +1,18 @@
-"""Near-duplicate vectors by a forest of random-projection trees with spill.
+"""Near-duplicate vectors: dense groups compared exactly, the rest by a forest of random-projection trees with spill.
 
+Splits at medians would cut a large group of near copies at every level.  So dense groups are taken out first: around
+sample vectors that link with many of the sample, centres are laid.  A vector within the link's angle of a centre is at
+home with the nearest one; whatever links with it lies within twice that angle of the same centre, and visits it.  Homes
+are compared with homes and visitors in blocks, which count links and keep one edge for each vector joined, so no pair is
+listed and none is missed.
+
+The other vectors go through the forest.
 Trees are fitted on a bounded sample (``sample`` vectors, those whose id hashes lowest): each node draws a random
 direction and splits at the sample's median; vectors within the spill band around it, a fixed share of the node's sample,
 go both ways.  Every vector is then taken down every tree, vectors that share a leaf are compared by cosine in double
 precision, and the links of all leaves are united.  A leaf larger than ``leaf_most`` is split on, by further random
-splits with spill, inside its task.  A link is missed only if every tree parts its two vectors.
+splits with spill, inside its task.  There are more trees where they are deep.  A link is missed only if neither vector is
+at home with a centre and every tree parts the two.
 
 Equal vectors share one representative, so a group of copies costs one vector.
 
@@ -25,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import settle
 from .components import components
 
+PACKED = pa.schema([("size", pa.int32()), ("centre", pa.int32()), ("part", pa.int32()), ("ids", pa.binary()), ("copies", pa.binary()), ("homeless", pa.binary()), ("vs", pa.binary())])
+
 
 class Tree:
     """Splits in level order: node i has the children 2i + 1 and 2i + 2."""
@@ -79,12 +89,53 @@ def _linked(x: np.ndarray, least: float, block: int = 1024):
             yield i[ahead] + a, j[ahead] + b
 
 
+def _centres(x: np.ndarray, least: float, members: int) -> tuple[np.ndarray, np.ndarray]:
+    """Centres of the dense groups of a sample (unit rows), and which of its vectors are at home with none of them.
+
+    Taken greedily: around the vector that links with most of the sample not yet at home, until none links with members.
+    """
+    linked, centres = np.zeros(len(x), np.int64), []
+    for a in range(0, len(x), 1024):
+        for b in range(0, len(x), 1024):
+            linked[a : a + 1024] += (x[a : a + 1024] @ x[b : b + 1024].T >= least).sum(axis=1)
+    free = np.ones(len(x), bool)
+    while len(x) and (top := int(np.argmax(np.where(free, linked, -1)))) >= 0 and free[top] and linked[top] >= members:
+        near = x[free & (x @ x[top] >= least)]
+        centre = near.mean(axis=0)
+        centre /= np.sqrt(centre @ centre) or 1.0
+        # The middle of the group, unless the vector itself reaches more.
+        if (x[top] @ centre < least) or (x[free] @ centre >= least).sum() < len(near):
+            centre = x[top]
+        home = free & (x @ centre >= least)
+        home[top] = True
+        centres.append(centre)
+        free &= ~home
+        gone = x[home]
+        for a in range(0, len(x), 1024):
+            for b in range(0, len(gone), 1024):
+                linked[a : a + 1024] -= (x[a : a + 1024] @ gone[b : b + 1024].T >= least).sum(axis=1)
+    return np.array(centres).reshape(-1, x.shape[1]), free
+
+
+def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n vertices the smallest that edges (a, b) link it with."""
+    root = np.arange(n)
+    while True:  # labels sink to the smallest that a link or a label's own label reaches
+        low = root.copy()
+        np.minimum.at(low, a, root[b])
+        np.minimum.at(low, b, root[a])
+        low = low[low]
+        if (low == root).all():
+            return root
+        root = low
+
+
 def _unit(vectors: list) -> np.ndarray:
     x = np.array(vectors, np.float64)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def link_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = 16, leaf: int = 200, leaf_most: int = 2000, spill: float = 0.08, sample: int = 16384, seed: int = 7) -> DataFrame:
+def link_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = 16, leaf: int = 200, leaf_most: int = 2000, spill: float = 0.08, sample: int = 16384, seed: int = 7, block: int = 4096) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row."""
     v = F.col(vector_col).cast("array<double>")
     finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -92,25 +143,86 @@ def link_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(usable, v).alias("v"))
     by_vector = settle(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies")), "vectors")
     n = by_vector.count()
-    forests = {}
+    forests, middles = {}, {}
     drawn = by_vector.select(F.col("v")).orderBy(F.xxhash64("first"), "first").limit(sample).toPandas()["v"].tolist() if n else []
     for size in sorted({len(x) for x in drawn}):
         own = _unit([x for x in drawn if len(x) == size])
-        depth = max(0, min(math.ceil(math.log2(max(1, n * len(own) / len(drawn) / leaf))), int(math.log2(max(1, len(own) / 16)))))
-        forests[size] = [Tree(own, depth, spill, np.random.default_rng([seed, size, t])) for t in range(trees)]
+        # Groups of fewer than half a leaf are left to the trees, and those of which the sample shows too little.
+        middles[size], free = _centres(own, least, max(8, math.ceil(leaf / 2 * len(drawn) / n)))
+        own = own[free]
+        levels = math.ceil(math.log2(max(1, n * len(own) / len(drawn) / leaf)))
+        depth = max(0, min(levels, int(math.log2(max(1, len(own) / 16)))))
+        forests[size] = [Tree(own, depth, spill, np.random.default_rng([seed, size, t])) for t in range(max(trees, math.ceil(trees * levels / 8)))]
+    # Cosine of twice the angle of a link, less what rounding may cost.
+    reach = 2 * least * least - 1 - 1e-9 if least > 0 else -2.0
 
-    def deal(batches):
+    def place(batches):
+        """A row for the home of each vector, centre -1 where it has none, and one for each other centre it visits."""
         for batch in batches:
             ids, copies, values = batch.column("first").to_numpy(), batch.column("copies").to_numpy(), batch.column("v").to_pylist()
             sizes = np.array([len(x) for x in values])
             for size in np.unique(sizes):
                 at = np.flatnonzero(sizes == size)
-                x = _unit([values[i] for i in at])
+                raw = [np.array(values[i], np.float64).tobytes() for i in at]
+                home, row, visited = np.full(len(at), -1), np.empty(0, np.int64), np.empty(0, np.int64)
+                if len(middles.get(size, ())):
+                    near = _unit([values[i] for i in at]) @ middles[size].T
+                    first = near.argmax(axis=1)
+                    home = np.where(near.max(axis=1) >= least, first, -1)
+                    row, visited = np.nonzero((near >= reach) & (np.arange(near.shape[1]) != home[:, None]))
+                row, centre = np.concatenate([np.arange(len(at)), row]), np.concatenate([home, visited])
+                visitor = np.arange(len(row)) >= len(at)
+                yield pa.RecordBatch.from_pydict({"size": pa.array(np.full(len(row), size), pa.int32()), "centre": pa.array(centre, pa.int32()), "visitor": pa.array(visitor), "homeless": pa.array(home[row] < 0), "id": pa.array(ids[at][row], pa.int64()), "copies": pa.array(copies[at][row], pa.int64()), "v": pa.array([raw[i] for i in row], pa.binary())})
+
+    def pack(key, table):
+        order = table.sort_by("id")
+        column = lambda name, kind: order[name].to_numpy().astype(kind).tobytes()
+        return pa.table({"size": [key[0].as_py()], "centre": [key[1].as_py()], "part": [key[2].as_py()], "ids": [column("id", np.int64)], "copies": [column("copies", np.int64)], "homeless": [column("homeless", np.int64)], "vs": [b"".join(order["v"].to_pylist())]}, schema=PACKED)
+
+    def meet(key, table):
+        """Links of two blocks of a centre, or within one: counted, and united to roots. part counts homes first, then visitors."""
+        order = table.sort_by("part")
+        parts, low, high = order["part"].to_pylist(), key[2].as_py(), key[3].as_py()
+        schema = pa.schema([("id", pa.int64()), ("root", pa.int64()), ("others", pa.int64())])
+        if parts != sorted({low, high}):
+            return pa.table({"id": [], "root": [], "others": []}, schema=schema)
+        ids, copies, homeless = ([np.frombuffer(x, np.int64) for x in order[name].to_pylist()] for name in ("ids", "copies", "homeless"))
+        x = [np.frombuffer(raw).reshape(len(i), -1) for raw, i in zip(order["vs"].to_pylist(), ids)]
+        x = [y / np.sqrt((y * y).sum(axis=1, keepdims=True)) for y in x]
+        visited = bool(order["visited"].to_pylist()[-1])
+        # A visitor at home elsewhere is counted there by the homes it meets here.
+        weigh = copies[-1] * homeless[-1] if visited else copies[-1]
+        left, right = len(ids[0]), len(ids[-1])
+        shift = left if low != high else 0
+        others, root = np.zeros(shift + right, np.int64), np.arange(shift + right)
+        for a in range(0, left, 1024):
+            for b in range(0, right, 1024):
+                hit = x[0][a : a + 1024] @ x[-1][b : b + 1024].T >= least
+                rows, cols = slice(a, a + hit.shape[0]), slice(shift + b, shift + b + hit.shape[1])
+                if low == high and a == b:
+                    np.fill_diagonal(hit, False)
+                others[rows] += (hit.astype(np.float64) @ weigh[b : b + 1024]).astype(np.int64)
+                if low != high:
+                    others[cols] += (copies[0][a : a + 1024] @ hit.astype(np.float64)).astype(np.int64)
+                i, j = np.nonzero(hit & (root[rows][:, None] != root[cols][None, :]))
+                if len(i):
+                    root = _roots(root[rows][i], root[cols][j], len(root))[root]
+        all_ids = np.concatenate(ids)
+        said = np.flatnonzero((others > 0) | (root != np.arange(len(root))))
+        return pa.table({"id": all_ids[said], "root": all_ids[root[said]], "others": others[said]}, schema=schema)
+
+    def deal(batches):
+        for batch in batches:
+            ids, copies, values = batch.column("id").to_numpy(), batch.column("copies").to_numpy(), batch.column("v").to_pylist()
+            sizes = np.array([len(x) for x in values]) // 8
+            for size in np.unique(sizes):
+                at = np.flatnonzero(sizes == size)
                 raw = [values[i] for i in at]
-                for t in range(trees):
-                    # A length that the sample has not met is one leaf.
-                    row, node = forests[size][t].leaves(x) if size in forests else (np.arange(len(at)), np.zeros(len(at), np.int64))
-                    yield pa.RecordBatch.from_pydict({"size": pa.array(np.full(len(row), size), pa.int32()), "tree": pa.array(np.full(len(row), t), pa.int32()), "leaf": pa.array(node, pa.int64()), "id": pa.array(ids[at][row], pa.int64()), "copies": pa.array(copies[at][row], pa.int64()), "v": pa.array([np.array(raw[i]).tobytes() for i in row], pa.binary())})
+                x = _unit([np.frombuffer(y) for y in raw])
+                # A length that the sample has not met is one leaf.
+                for t, tree in enumerate(forests.get(size, [None] * trees)):
+                    row, node = tree.leaves(x) if tree else (np.arange(len(at)), np.zeros(len(at), np.int64))
+                    yield pa.RecordBatch.from_pydict({"size": pa.array(np.full(len(row), size), pa.int32()), "tree": pa.array(np.full(len(row), t), pa.int32()), "leaf": pa.array(node, pa.int64()), "id": pa.array(ids[at][row], pa.int64()), "copies": pa.array(copies[at][row], pa.int64()), "v": pa.array([raw[i] for i in row], pa.binary())})
 
     def compare(key, table):
         order = table.sort_by("id")
@@ -123,15 +235,7 @@ def link_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
         if not found:
             return pa.table({"id": [], "root": [], "near": []}, schema=schema)
         a, b = np.unique(np.stack([np.concatenate([p[0] for p in found]), np.concatenate([p[1] for p in found])]), axis=1)
-        root = np.arange(len(ids))
-        while True:  # labels sink to the smallest that a link or a label's own label reaches
-            low = root.copy()
-            np.minimum.at(low, a, root[b])
-            np.minimum.at(low, b, root[a])
-            low = low[low]
-            if (low == root).all():
-                break
-            root = low
+        root = _roots(a, b, len(ids))
         one, two = np.concatenate([a, b]), np.concatenate([b, a])
         by = np.argsort(one, kind="stable")
         one, two = one[by], two[by]
@@ -139,11 +243,22 @@ def link_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
         near = pa.ListArray.from_arrays(pa.array(np.append(start, len(one)), pa.int32()), pa.StructArray.from_arrays([pa.array(ids[two]), pa.array(copies[two])], ["id", "copies"]))
         return pa.table({"id": pa.array(ids[who]), "root": pa.array(ids[root[who]]), "near": near}, schema=schema)
 
-    dealt = by_vector.mapInArrow(deal, "size int, tree int, leaf long, id long, copies long, v binary")
+    placed = settle(by_vector.mapInArrow(place, "size int, centre int, visitor boolean, homeless boolean, id long, copies long, v binary"), "placed")
+    at_centres = placed.where("centre >= 0")
+    parts = at_centres.groupBy("size", "centre").agg(*[F.ceil(F.count_if(c) / block).cast("int").alias(k) for k, c in (("homes", ~F.col("visitor")), ("visits", F.col("visitor")))])
+    within = lambda count: F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
+    packed = at_centres.join(F.broadcast(parts), ["size", "centre"]).where("homes > 0").withColumn("part", F.when(F.col("visitor"), F.col("homes") + within("visits")).otherwise(within("homes")))
+    packed = settle(packed.groupBy("size", "centre", "part").applyInArrow(pack, "size int, centre int, part int, ids binary, copies binary, homeless binary, vs binary"), "packed").join(F.broadcast(parts), ["size", "centre"])
+    # Homes meet all blocks of their centre, visitors meet the homes alone.
+    met = packed.withColumn("visited", F.col("part") >= F.col("homes")).withColumn("with", F.explode(F.expr("sequence(0, IF(visited, homes, homes + visits) - 1)")))
+    met = met.select("size", "centre", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "part", "visited", "ids", "copies", "homeless", "vs")
+    dense = settle(met.groupBy("size", "centre", "low", "high").applyInArrow(meet, "id long, root long, others long"), "dense")
+    dealt = placed.where("centre < 0").mapInArrow(deal, "size int, tree int, leaf long, id long, copies long, v binary")
     found = settle(dealt.groupBy("size", "tree", "leaf").applyInArrow(compare, "id long, root long, near array<struct<id:long,copies:long>>"), "near")
-    linked = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    linked = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(dense.select(F.col("id").alias("a"), F.col("root").alias("b"))))
     near = F.array_distinct(F.flatten(F.collect_list("near")))
     others = found.groupBy("id").agg(F.aggregate(near, F.lit(0).cast("long"), lambda s, x: s + x.getField("copies")).alias("others"))
+    others = others.unionByName(dense.select("id", "others")).groupBy("id").agg(F.sum("others").alias("others"))
     known = by_vector.join(others.withColumnRenamed("id", "first"), "first", "left").join(linked.withColumnRenamed("id", "first"), "first", "left")
     known = known.select("v", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "first").alias("c"))
     component = F.coalesce("c", "vec_id")

@@ -244,6 +244,27 @@ def test_forest(spark):
     assert op7_forest.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("n", [1500, 6000])
+def test_forest_dense_group(spark, n):
+    """A third of the rows are distinct near copies, with a looser group of their own direction, strays between and copies."""
+    rng = np.random.default_rng(5)
+    x, g = rng.standard_normal((n, 64)), n // 3
+    centre, other = rng.standard_normal((2, 64))
+    x[:g] = centre + 0.2 * rng.standard_normal((g, 64))
+    x[g : g + n // 10] = other + 0.24 * rng.standard_normal((n // 10, 64))
+    x[g + n // 10 : g + n // 10 + 40] = centre + np.linspace(0.2, 0.5, 40)[:, None] * rng.standard_normal((40, 64))
+    x[-20:] = x[:20]
+    got = {r.vec_id: r for r in op7_forest.link_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), block=400).collect()}
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = y @ y.T >= 0.95
+    np.fill_diagonal(near, False)
+    assert [got[i].n_links for i in range(n)] == near.sum(axis=1).tolist()
+    label = np.arange(n)
+    while (label != (low := np.minimum(label, np.where(near, label, n).min(axis=1)))).any():
+        label = low
+    assert [got[i].component_id for i in range(n)] == label.tolist()
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
