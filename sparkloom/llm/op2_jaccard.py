@@ -11,12 +11,16 @@ components.  Then members of lists that still hold several components are compar
 condition bounds the overlap by sizes and by parity bitmaps, so only plausible pairs leave it.  Every pair that leaves is
 verified exactly.  No pair of a component is needed twice, no pair is left out that could join two components.
 
-Defined results.  Null or empty text, or no words: an empty set, linked with nothing, its own component.  Null ids: kept as
-rows of component null.  Rows repeated with one id: one component.  Empty table: no rows.  Other columns are not read.
+Defined results.  Null or empty text, or no words: an empty set, linked with nothing, its own component.  Every row
+goes by its own text, be its id null or repeated with other texts; component_id is the smallest id among the rows of the
+component, null where none has one.  Empty table: no rows.  Other columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -74,13 +78,19 @@ def profiles(dealt: DataFrame, firsts: DataFrame, size: int, percent: int, bucke
     """One row per representative: the size of its set, tokens that others hold too, bitmap and index keys."""
 
     def chosen(table, marks):
-        keep = set(marks["first"].to_pylist())
+        keep = {}
+        for i, digest, key in zip(marks["first"].to_pylist(), marks["digest"].to_pylist(), marks["key"].to_pylist()):
+            keep.setdefault(i, {})[digest] = key
         ids, bodies = table["id"].to_pylist(), table["body"].to_pylist()
-        done = set()
+        rows, done = Counter(ids), set()
         for i, body in zip(ids, bodies):
-            if i in keep and i not in done and body.split():
-                done.add(i)
-                yield i, shingles(body, size)
+            if i not in keep or not body.split():
+                continue
+            # All rows of an id are here, so digests are needed only where it has several; null ids may meet by chance.
+            key = next(iter(keep[i].values())) if i is not None and rows[i] == 1 else keep[i].get(hashlib.sha256(body).hexdigest())
+            if key is not None and key not in done:
+                done.add(key)
+                yield key, shingles(body, size)
 
     def send(key, table, marks):
         sets = [t for _, t in chosen(table, marks)]
@@ -88,7 +98,7 @@ def profiles(dealt: DataFrame, firsts: DataFrame, size: int, percent: int, bucke
         return counting.send(key[0].as_py(), h48, counts, buckets)
 
     def profile(key, table, answers):
-        marks = pa.table({"first": answers["first"].drop_null()})
+        marks = answers.filter(answers["key"].is_valid())
         known = answers.filter(answers["places"].is_valid())
         sets = list(chosen(table, marks))
         h48 = np.unique(np.concatenate([t for _, t in sets]) >> np.uint64(16)) if sets else np.empty(0, np.uint64)
@@ -103,7 +113,7 @@ def profiles(dealt: DataFrame, firsts: DataFrame, size: int, percent: int, bucke
 
     sent = dealt.groupBy("chunk").cogroup(firsts.groupBy("chunk")).applyInArrow(send, counting.SENT)
     answers = counting.shared_hashes(sent)
-    both = firsts.select("chunk", "first", *[F.lit(None).cast(t).alias(c) for c, t in (("bucket", "int"), ("places", "binary"), ("counts", "binary"))]).unionByName(answers, allowMissingColumns=True)
+    both = firsts.select("chunk", "first", "digest", "key", *[F.lit(None).cast(t).alias(c) for c, t in (("bucket", "int"), ("places", "binary"), ("counts", "binary"))]).unionByName(answers, allowMissingColumns=True)
     return settle(dealt.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(profile, PROFILE), "profiles")
 
 
@@ -174,32 +184,49 @@ def merged(label: DataFrame, links: DataFrame) -> DataFrame:
     return label.unionByName(new).join(up, "component", "left").select("id", F.coalesce("up", "component").alias("component"))
 
 
-def jaccard_join(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row: documents whose shingle sets have a Jaccard similarity of percent / 100 or more link."""
+def _digest(text_col: str):
+    return F.sha2(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")), 256).alias("digest")
+
+
+def _labelled(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20) -> DataFrame:
+    """(doc_id, digest, n_shingles, component_id, root) for each row; root tells components apart, null for texts without words."""
     size = total_bytes(docs, text_col)
     chunks, buckets = n_chunks(size, chunk_bytes), max(8, n_chunks(size, 4 * chunk_bytes))
     dealt = in_chunks(docs, id_col, text_col, chunks)
-    # Equal ids: the row with the smallest digest stands for the id where texts differ.
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")), 256).alias("digest"))
-    by_text = rows.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    firsts = by_text.where("first is not null").select(F.coalesce(F.pmod(F.xxhash64("first"), F.lit(chunks)).cast("int"), F.lit(0)).alias("chunk"), "first").distinct()
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _digest(text_col), F.xxhash64(text_col, F.lit(1)).alias("by_text"))
+    # One row of each text represents it: that of the smallest id, or one without id, which its text has dealt.
+    by_text = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.min("by_text").alias("by_text"))
+    by_text = settle(by_text.select(F.monotonically_increasing_id().alias("key"), "digest", "first", "by_text"), "texts")
+    dealt_by = F.when(F.col("first").isNotNull(), F.xxhash64("first")).otherwise(F.col("by_text"))
+    firsts = by_text.select(F.coalesce(F.pmod(dealt_by, F.lit(chunks)).cast("int"), F.lit(0)).alias("chunk"), "first", "digest", "key")
     sets = profiles(dealt, firsts, shingle_words, percent, buckets)
-    linked = link(sets.where(F.size("keys") > 0), percent)
-    known = sets.select(F.col("doc").alias("first"), "n").join(linked.withColumnRenamed("id", "first"), "first", "left")
-    by_text = by_text.join(known, "first", "left").select("digest", "first", "n", "component")
+    linked = settle(link(sets.where(F.size("keys") > 0), percent), "linked").withColumnRenamed("id", "key")
+    least = linked.join(by_text.select("key", "first"), "key").groupBy("component").agg(F.min("first").alias("least"))
+    linked = linked.join(least, "component")
+    known = by_text.drop("by_text").join(sets.select(F.col("doc").alias("key"), "n"), "key").join(linked, "key", "left")
+    known = known.select("digest", "n", F.coalesce("component", "key").alias("root"), F.when(F.col("component").isNull(), F.col("first")).otherwise(F.col("least")).alias("least"))
     empty = F.col("n").isNull()
-    return rows.join(by_text, "digest", "left").select(
+    return rows.join(known, "digest", "left").select(
         "doc_id",
+        "digest",
         F.coalesce("n", F.lit(0).cast("long")).alias("n_shingles"),
-        F.when(empty, F.col("doc_id")).otherwise(F.coalesce("component", "first")).alias("component_id"),
+        F.when(empty, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"),
+        "root",
     )
 
 
+def jaccard_join(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row: documents whose shingle sets have a Jaccard similarity of percent / 100 or more link."""
+    return _labelled(docs, shingle_words, percent, id_col, text_col, chunk_bytes).select("doc_id", "n_shingles", "component_id")
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, less those whose component holds a smaller id; of rows repeated with one id one stays, rows without id stay."""
-    found = jaccard_join(docs, id_col=id_col, text_col=text_col, **options)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(first, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    """The rows of docs, less those whose component holds a smaller id; of rows with one id and component one stays, rows without id stay."""
+    found = _labelled(docs, id_col=id_col, text_col=text_col, **options).where("doc_id = component_id")
+    first = found.groupBy("doc_id", F.coalesce(F.col("root").cast("string"), F.col("digest"))).agg(F.min("digest").alias("digest"))
+    first = first.select(F.col("doc_id").alias(id_col), F.col("digest").alias("kept_digest"))
+    rows = docs.withColumn("kept_digest", _digest(text_col)).join(first, [id_col, "kept_digest"], "left_semi").dropDuplicates([id_col, "kept_digest"])
+    return rows.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

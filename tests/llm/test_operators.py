@@ -108,6 +108,16 @@ def test_jaccard(spark, size, percent, monkeypatch):
     assert op2_jaccard.jaccard_join(frame(spark, [])).count() == 0
 
 
+def test_jaccard_repeated_and_null_ids(spark):
+    """Rows go by their own texts: none is lost to another text of its id, and texts without id have their sets and links."""
+    text = lambda tag, *odd: " ".join([f"{tag}{i}" for i in range(200)] + list(odd))
+    rows = [(3, text("a")), (5, text("a", "end")), (5, text("b")), (5, text("b")), (7, text("b", "end")), (8, text("c")), (8, text("c", "end")), (None, text("d")), (None, text("d", "end")), (9, text("d")), (None, text("e")), (4, ""), (4, "")]
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in op2_jaccard.jaccard_join(frame(spark, rows)).collect())
+    assert got == collections.Counter([(3, 196, 3), (5, 197, 3), (5, 196, 5), (5, 196, 5), (7, 197, 5), (8, 196, 8), (8, 197, 8), (None, 196, 9), (None, 197, 9), (9, 196, 9), (None, 196, None), (4, 0, 4), (4, 0, 4)])
+    kept = collections.Counter((r.doc_id, r.text[:1]) for r in op2_jaccard.keep_first(frame(spark, rows)).collect())
+    assert kept == collections.Counter([(3, "a"), (5, "b"), (8, "c"), (None, "d"), (None, "d"), (9, "d"), (None, "e"), (4, "")])
+
+
 def test_index_shares_a_key_for_every_link():
     rng = np.random.default_rng(0)
     for _ in range(200):
