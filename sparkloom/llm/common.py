@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from functools import cached_property
 
 import numpy as np
 import xxhash
@@ -51,9 +52,28 @@ class _Hashes(dict):
         return value
 
 
-_HASHES = _Hashes()
-_K = np.uint64(0x9E3779B97F4A7C15)
-_C = np.uint64(0xBF58476D1CE4E5B9)
+class _Codes(dict):
+    """Word -> its place among 128-bit digests."""
+
+    def __init__(self):
+        self.digests = bytearray()
+
+    def __missing__(self, word: bytes) -> int:
+        code = self[word] = len(self)
+        self.digests += xxhash.xxh3_128_digest(word)
+        return code
+
+    def room(self) -> None:
+        """Forget everything when full; between chunks only, so that places hold while one is read."""
+        if len(self) > 300_000:
+            self.clear()
+            self.digests.clear()
+
+
+_HASHES, _CODES = _Hashes(), _Codes()
+#: Odd factors, two for each lane of a digest.
+_K = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
+_C = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -67,10 +87,23 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     h = words[:size].copy()
     for j in range(1, n):
-        h *= _K
+        h *= _K[0]
         h += words[j : j + size]
+    return _mixed(h, 0)
+
+
+def grams_at(words: np.ndarray, at: np.ndarray, n: int, lane: int = 0) -> np.ndarray:
+    """``gram_hashes`` at some positions only."""
+    h = words[at]
+    for j in range(1, n):
+        h *= _K[lane]
+        h += words[at + j]
+    return _mixed(h, lane)
+
+
+def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
     h ^= h >> np.uint64(29)
-    h *= _C
+    h *= _C[lane]
     h ^= h >> np.uint64(32)
     return h
 
@@ -85,6 +118,11 @@ def total_bytes(docs: DataFrame, text: str) -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
 
 
+def chunk_size(size: int, least: int) -> int:
+    """Bytes of a chunk: at least ``least``, and so many that chunks times ranges, which bounds the blocks sent, stays in proportion to the input."""
+    return max(least, math.isqrt(64 * size))
+
+
 def n_chunks(size: int, chunk_bytes: int) -> int:
     return max(1, math.ceil(size / chunk_bytes))
 
@@ -109,23 +147,27 @@ class Words:
     def __init__(self, table, lower: bool = False):
         self.bodies = table["body"].to_pylist()
         parts, sizes = [], []
+        _CODES.room()
         for body in self.bodies:
             words = (body.lower() if lower else body).split()
-            parts.append(word_hashes(words))
+            parts.append(np.fromiter(map(_CODES.__getitem__, words), np.int32, len(words)))
             sizes.append(len(words))
         self.sizes = np.array(sizes, np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
-        self.hashes = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+        self.codes = np.concatenate(parts) if parts else np.empty(0, np.int32)
+        self.hashes = self._lane(0)
         self.owner = np.repeat(np.arange(len(sizes)), self.sizes)
         ids = table["id"]
         self.null = np.array(ids.is_null()).astype(bool)
         self.ids = ids.fill_null(MAX_ID).to_numpy().astype(np.int64)
 
-    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions at which n words of one document start, and the hashes of these words."""
-        h = gram_hashes(self.hashes, n)
-        whole = np.flatnonzero(self.owner[: len(h)] == self.owner[n - 1 :]) if len(h) else np.empty(0, np.int64)
-        return whole, h[whole]
+    def _lane(self, lane: int) -> np.ndarray:
+        return np.frombuffer(bytes(_CODES.digests), np.uint64)[lane::2][self.codes]
+
+    @cached_property
+    def second(self) -> np.ndarray:
+        """The other half of each word's digest; ask for it before the words of another chunk are read."""
+        return self._lane(1)
 
 
 # ---------------------------------------------------------------- packed hashes

@@ -1,35 +1,67 @@
-"""Removal of word runs that an earlier document already holds: the engine under the two exact substring operators.
+"""Removal of word runs that an earlier document already holds: the exchange under the two exact substring operators.
 
-Four steps over documents dealt to chunks by id.  (1) Each chunk picks anchors, short word n-grams at selected
-positions, and sends their hashes.  (2) Ranges of the hash space, sorted, tell each chunk which anchors two documents
-share.  (3) Around shared anchors, and only there, matches are extended left and right to full windows of
-``window_words``; each distinct window goes out once per chunk with its smallest document id.  (4) Windows that an
-earlier document holds are answered back, and each chunk removes the words they cover.
+Documents are dealt to chunks by id.  (1) Each chunk picks anchors and sends their hashes.  (2) Ranges of the hash space,
+sorted, tell each chunk which anchors two documents share.  (3) Around shared anchors, and nowhere else, each chunk states
+matches to be judged: entries, each distinct one once with its smallest document id.  (4) Entries that can be equal meet
+in one range, and those windows of an entry that an earlier document holds are late.  (5) Each chunk removes the words
+of its late windows.  What no shared anchor leads to stays, inside a chunk as well as across chunks.
 
-How anchors are picked decides which operator it is: any pick works that gives two equal windows at least one anchor at
-the same offset.  Windows are told apart by 64-bit hashes of 64-bit word hashes.
+Which anchors are picked, what an entry says and how entries are compared is the operator's: see ``Method``.  Windows
+that very many chunks hold are judged in rounds of ``fan`` chunks: who is late in a round is answered and leaves, and
+only the earliest go on, so no task gathers a hot passage from all chunks.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import counting
-from .common import MAX_ID, Words, in_chunks, n_chunks, total_bytes
+from .common import Words, chunk_size, in_chunks, n_chunks, settle, total_bytes
 
-#: Picks anchors of a chunk: positions in ascending order and their hashes.
-Picker = Callable[[Words], tuple[np.ndarray, np.ndarray]]
 RESULT = "doc_id long, n_words long, n_removed long, n_spans long, kept_sha256 string"
-BODY = "doc_id long, n_words long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+BODY = RESULT + ", kept binary"
+SENT = "bucket int, chunk int, places binary, body binary, bits binary, ids binary, whose binary, late binary"
+SENT_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), *[(n, pa.binary()) for n in ("places", "body", "bits", "ids", "whose", "late")]])
 
 
-def _shift(h: np.ndarray) -> np.ndarray:
-    return h >> np.uint64(16)
+@dataclass
+class Entries:
+    """What a chunk states: distinct entries, and where in the chunk each occurs.
+
+    Bit o of an entry stands for the window that starts o words before the base of an occurrence.
+    """
+
+    ranges: np.ndarray  # uint64 by which entries go to ranges; equal windows have equal ones
+    ids: np.ndarray  # the smallest document id of each
+    bits: np.ndarray  # booleans, a row for each entry
+    bodies: object  # what the method compares, by entry
+    entry: np.ndarray  # for each occurrence its entry,
+    base: np.ndarray  # and its base
+
+
+class Method(Protocol):
+    window_words: int
+    width: int  # bits of an entry
+
+    def anchors(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in ascending order and their hashes."""
+
+    def entries(self, words: Words, at: np.ndarray) -> Entries:
+        """The entries around shared anchors."""
+
+    def pack(self, bodies, part: np.ndarray) -> bytes: ...
+
+    def unpack(self, packed: list[bytes], sizes: list[int]): ...
+
+    def late(self, bodies, bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Which windows of the entries of one range a smaller id holds."""
 
 
 def _distinct(h48: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,103 +76,125 @@ def _distinct(h48: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return s[new], np.bincount(run[new_doc])
 
 
-def _earliest(h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct hashes with the smallest id of each."""
-    order = np.lexsort((ids, h))
-    s = h[order]
-    new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.empty(0, bool)
-    return s[new], ids[order][new]
-
-
-def _answer_windows(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Of one range of windows: the smallest id of each hash, answered where it is smaller than the sender's."""
-    chunks = table["chunk"].to_numpy()
-    parts = [np.frombuffer(x.as_py(), np.uint64) for x in table["hashes"]]
-    sizes = np.array([len(x) for x in parts])
-    h = np.concatenate(parts)
-    ids = np.concatenate([np.frombuffer(t.as_py(), np.int64)[np.frombuffer(x.as_py(), np.uint32)] for t, x in zip(table["ids"], table["whose"])])
-    distinct, least = _earliest(h, ids)
-    found = least[np.searchsorted(distinct, h)]
-    out = {"chunk": [], "hashes": [], "ids": []}
-    at = 0
-    for chunk, size in zip(chunks, sizes):
-        part = slice(at, at + size)
-        at += size
-        if len(late := np.flatnonzero(found[part] < ids[part])):
-            out["chunk"].append(chunk)
-            out["hashes"].append(h[part][late].tobytes())
-            out["ids"].append(found[part][late].tobytes())
-    return pa.table(out, schema=pa.schema([("chunk", pa.int32()), ("hashes", pa.binary()), ("ids", pa.binary())]))
-
-
-def remove_repeats(docs: DataFrame, picker: Picker, anchor_words: int, window_words: int, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, carry: tuple[str, ...] = (), chunk_bytes: int = 4 << 20) -> DataFrame:
-    """One row per row of docs; see the operators for the columns and the defined results."""
+def _bits(raw: list[bytes], width: int, sizes: list[int]) -> np.ndarray:
+    """Rows of bits; where none are sent, all are meant."""
+    parts = [np.unpackbits(np.frombuffer(x, np.uint8).reshape(n, -1), axis=1, count=width).astype(bool) if x else np.ones((n, width), bool) for x, n in zip(raw, sizes)]
+    return np.concatenate(parts) if parts else np.empty((0, width), bool)
+
+
+def _block(method: Method, bucket: int, chunk: int, places: np.ndarray, body: bytes, bits: np.ndarray, ids: np.ndarray) -> dict:
+    used, whose = np.unique(ids, return_inverse=True)
+    whose = whose.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32)
+    return {"bucket": bucket, "chunk": chunk, "places": places.astype(np.uint32).tobytes(), "body": body, "bits": b"" if bits.all() else np.packbits(bits, axis=1).tobytes(), "ids": used.tobytes(), "whose": whose.tobytes(), "late": None}
+
+
+def _states(method: Method, words: Words, known: pa.Table, buckets: int) -> Entries | None:
+    """The entries of a chunk, given which of its anchors are shared."""
+    at, h = method.anchors(words)
+    h48 = h >> np.uint64(16)
+    own = np.unique(h48)
+    shared = counting.counts_of(own, known, buckets)[np.searchsorted(own, h48)] > 1
+    return method.entries(words, at[shared]) if shared.any() else None
+
+
+def _order(entries: Entries, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Entries by bucket, and where each bucket begins."""
+    bucket = ((entries.ranges >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def _judge(method: Method, last: bool):
+    def judge(key, table):
+        places = [np.frombuffer(x, np.uint32) for x in table["places"].to_pylist()]
+        sizes = [len(x) for x in places]
+        used, whose = table["ids"].to_pylist(), table["whose"].to_pylist()
+        ids = np.concatenate([(u := np.frombuffer(a, np.int64))[np.frombuffer(b, np.uint16 if len(u) <= 1 << 16 else np.uint32)] for a, b in zip(used, whose)])
+        bits = _bits(table["bits"].to_pylist(), method.width, sizes)
+        bodies = method.unpack(table["body"].to_pylist(), sizes)
+        late = method.late(bodies, bits, ids)
+        out, at = [], 0
+        for bucket, chunk, place, size in zip(table["bucket"].to_pylist(), table["chunk"].to_pylist(), places, sizes):
+            part = slice(at, at + size)
+            if len(said := np.flatnonzero(late[part].any(axis=1))):
+                out.append({"bucket": bucket, "chunk": chunk, "places": place[said].tobytes(), "late": b"" if late[part][said].all() else np.packbits(late[part][said], axis=1).tobytes()})
+            stay = bits[part] & ~late[part]
+            if not last and len(on := np.flatnonzero(stay.any(axis=1))):
+                out.append(_block(method, bucket, chunk, place[on], method.pack(bodies, on + at), stay[on], ids[part][on]))
+            at += size
+        return pa.Table.from_pylist(out, schema=SENT_ARROW)
+
+    return judge
+
+
+def remove_repeats(docs: DataFrame, method: Method, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, carry: tuple[str, ...] = (), chunk_bytes: int = 4 << 20, fan: int = 1024) -> DataFrame:
+    """One row per row of docs; see the operators for the columns and the defined results.
+
+    Carried columns come back as c0, c1, ..., so no name of docs can clash.
+    """
     size = total_bytes(docs, text_col)
-    chunks = n_chunks(size, chunk_bytes)
+    chunk_bytes = chunk_size(size, chunk_bytes)
+    chunks = max(8, n_chunks(size, chunk_bytes))
     buckets = max(8, n_chunks(size, 4 * chunk_bytes))
     dealt = in_chunks(docs, id_col, text_col, chunks, carry)
 
     def send_anchors(key, table):
         words = Words(table)
-        at, h = picker(words)
-        return counting.send(key[0].as_py(), *_distinct(_shift(h), words.owner[at]), buckets)
-
-    def send_windows(key, table, answers):
-        words = Words(table) if len(table) else None
-        empty = {"bucket": [], "chunk": [], "hashes": [], "whose": [], "ids": []}
-        schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("hashes", pa.binary()), ("whose", pa.binary()), ("ids", pa.binary())])
-        if words is None or not len(answers):
-            return pa.table(empty, schema=schema)
-        at, h = picker(words)
-        h48 = _shift(h)
-        own = np.unique(h48)
-        shared = counting.counts_of(own, answers, buckets)[np.searchsorted(own, h48)] > 1
-        marks = np.zeros(len(words.hashes) + 1, np.int32)
-        marks[at[shared] + 1] = 1
-        marks = np.cumsum(marks)
-        at, h = words.grams(window_words)
-        near = marks[at + window_words - anchor_words + 1] > marks[at]
-        h, least = _earliest(h[near], words.ids[words.owner[at[near]]])
-        ids, whose = np.unique(least, return_inverse=True)
-        bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-        for b in np.flatnonzero(cuts[1:] > cuts[:-1]):
-            part = slice(cuts[b], cuts[b + 1])
-            used, place = np.unique(whose[part], return_inverse=True)
-            for name, value in zip(empty, (b, key[0].as_py(), h[part].tobytes(), place.astype(np.uint32).tobytes(), ids[used].tobytes())):
-                empty[name].append(value)
-        return pa.table(empty, schema=schema)
+        at, h = method.anchors(words)
+        return counting.send(key[0].as_py(), *_distinct(h >> np.uint64(16), words.owner[at]), buckets)
+
+    def send_entries(key, table, known):
+        found = _states(method, Words(table), known, buckets) if len(table) and len(known) else None
+        if found is None:
+            return SENT_ARROW.empty_table()
+        order, cuts = _order(found, buckets)
+        rows = []
+        for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+            part = order[cuts[b] : cuts[b + 1]]
+            rows.append(_block(method, b, key[0].as_py(), np.arange(len(part)), method.pack(found.bodies, part), found.bits[part], found.ids[part]))
+        return pa.Table.from_pylist(rows, schema=SENT_ARROW)
 
     def cut(key, table, answers):
-        found = _cut(Words(table), answers, window_words, with_text)
+        words = Words(table)
+        known = answers.filter(answers["late"].is_null())
+        said = answers.filter(answers["late"].is_valid())
+        found = _states(method, words, known, buckets) if len(known) else None
+        starts = np.empty(0, np.int64)
+        if found is not None:
+            order, cuts = _order(found, buckets)
+            late = np.zeros(found.bits.shape, bool)
+            for b, places, raw in zip(*(said[c].to_pylist() for c in ("bucket", "places", "late"))):
+                own = order[cuts[b] + np.frombuffer(places, np.uint32).astype(np.int64)]
+                late[own] |= _bits([raw], method.width, [len(own)])
+            # A later document of the chunk that states the same entry is late in all its windows.
+            again = words.ids[words.owner[found.base]] > found.ids[found.entry]
+            k, o = np.nonzero(found.bits[found.entry] & (late[found.entry] | again[:, None]))
+            starts = found.base[k] - o
+        done = _cut(words, starts, method.window_words, with_text)
         for i in range(len(carry)):
-            found = found.append_column(f"c{i}", table[f"c{i}"])
-        return found
+            done = done.append_column(f"c{i}", table[f"c{i}"])
+        return done
 
     sent = dealt.groupBy("chunk").applyInArrow(send_anchors, counting.SENT)
-    answers = counting.shared_hashes(sent)
-    windows = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(send_windows, "bucket int, chunk int, hashes binary, whose binary, ids binary")
-    late = windows.groupBy("bucket").applyInArrow(_answer_windows, "chunk int, hashes binary, ids binary")
+    known = counting.shared_hashes(sent)
+    late, blocks, groups = None, dealt.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(send_entries, SENT), chunks
+    while groups > fan:
+        groups = -(-groups // fan)
+        judged = settle(blocks.groupBy("bucket", F.pmod("chunk", F.lit(groups))).applyInArrow(_judge(method, False), SENT), "judged")
+        answered = judged.where("late is not null")
+        late, blocks = answered if late is None else late.unionByName(answered), judged.where("late is null")
+    answered = blocks.groupBy("bucket").applyInArrow(_judge(method, True), SENT)
+    late = answered if late is None else late.unionByName(answered)
+    both = known.select("chunk", "bucket", "places", "counts", F.lit(None).cast("binary").alias("late")).unionByName(late.select("chunk", "bucket", "places", F.lit(None).cast("binary").alias("counts"), "late"))
     schema = ", ".join([BODY if with_text else RESULT, *[f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry)]])
-    found = dealt.groupBy("chunk").cogroup(late.groupBy("chunk")).applyInArrow(cut, schema)
-    # Carried columns come back under their names, with an underscore before those that clash.
-    own = [c.split()[0] for c in (BODY if with_text else RESULT).split(", ")]
-    return found.withColumnsRenamed({f"c{i}": f"_{c}" if c in own else c for i, c in enumerate(carry)})
+    return dealt.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(cut, schema)
 
 
-def _cut(words: Words, answers: pa.Table, window_words: int, with_text: bool) -> pa.Table:
-    at, h = words.grams(window_words)
-    ids = words.ids[words.owner[at]]
+def _cut(words: Words, starts: np.ndarray, window_words: int, with_text: bool) -> pa.Table:
     gone = np.zeros(len(words.hashes) + 1, np.int32)
-    if len(at):
-        own, least = _earliest(h, ids)
-        if len(answers):
-            far = np.concatenate([np.frombuffer(x, np.uint64) for x in answers["hashes"].to_pylist()])
-            place = np.searchsorted(own, far)
-            np.minimum.at(least, place, np.concatenate([np.frombuffer(x, np.int64) for x in answers["ids"].to_pylist()]))
-        starts = at[least[np.searchsorted(own, h)] < ids]
-        gone[starts] += 1
-        np.subtract.at(gone, starts + window_words, 1)
+    starts = np.unique(starts)
+    gone[starts] += 1
+    np.subtract.at(gone, starts + window_words, 1)
     covered = np.cumsum(gone[:-1]) > 0
     total = np.concatenate([[0], np.cumsum(covered)])
     removed = total[words.starts[1:]] - total[words.starts[:-1]]

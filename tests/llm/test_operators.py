@@ -12,8 +12,6 @@ import pytest
 
 from sparkloom.llm import components, op2_jaccard, op3_pii, op5_quality, op6_lattice, op7_forest, op8_packing, op10_viterbi
 from sparkloom.llm.op1_warc import read_warc, write_warc
-from sparkloom.llm.op4_difference_cover import difference_cover_dedup
-from sparkloom.llm.op9_sparse_suffix import sparse_suffix_dedup
 
 SCHEMA = "doc_id long, text string, chunk string, id string, body int"
 PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
@@ -46,38 +44,6 @@ def words(text):
     return (text or "").encode().split()
 
 
-def removed(rows, window):
-    first = {}
-    for i, t in rows:
-        w = words(t)
-        for s in range(len(w) - window + 1):
-            k = tuple(w[s : s + window])
-            first[k] = min(first.get(k, i), i)
-    for i, t in rows:
-        w = words(t)
-        gone = [False] * len(w)
-        for s in range(len(w) - window + 1):
-            if first[tuple(w[s : s + window])] < i:
-                gone[s : s + window] = [True] * window
-        yield i, len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone) if not g)).hexdigest()
-
-
-@pytest.mark.parametrize("operator, window", [(difference_cover_dedup, 13), (difference_cover_dedup, 9), (sparse_suffix_dedup, 50), (sparse_suffix_dedup, 20)])
-def test_repeats(spark, operator, window):
-    rows = corpus()
-    got = operator(frame(spark, rows), window_words=window, chunk_bytes=9000)
-    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == sorted(removed(rows, window))
-    kept = operator(frame(spark, rows), window_words=window, with_text=True, carry=("chunk", "id")).collect()
-    assert all(hashlib.sha256(b" ".join(bytes(r.kept).split())).hexdigest() == r.kept_sha256 and (r.chunk, r.id) == ("c", "i") for r in kept)
-
-
-def test_repeats_of_null_and_repeated_ids(spark):
-    text = " ".join(f"w{i}" for i in range(60))
-    got = difference_cover_dedup(frame(spark, [(5, text), (5, text), (None, text), (7, text)])).collect()
-    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_removed) for r in got) == [(False, 5, 0), (False, 5, 0), (False, 7, 60), (True, 0, 60)]
-    assert difference_cover_dedup(frame(spark, [])).count() == 0 == sparse_suffix_dedup(frame(spark, [])).count()
-
-
 def classes(rows, size, percent):
     sets = {}
     for i, t in rows:
