@@ -15,7 +15,7 @@ from sparkloom.llm.op2_jaccard import keep_first
 from sparkloom.llm.op3_pii import redact_pii
 from sparkloom.llm.op5_quality import keep_quality
 from sparkloom.llm.op8_packing import pack_documents
-from sparkloom.llm.op9_sparse_suffix import sparse_suffix_dedup
+from sparkloom.llm.op9_sparse_suffix import drop_passages
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,10 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that an earlier document holds go from the texts."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    found = sparse_suffix_dedup(docs, with_text=True, carry=others)
-    text = F.col("kept").cast("string")
-    return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return drop_passages(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
