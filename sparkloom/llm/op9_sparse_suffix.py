@@ -19,7 +19,7 @@ whatever their names, through ``drop_passages``, which keeps null texts null.
 from __future__ import annotations
 
 from collections import defaultdict
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -44,7 +44,7 @@ def _sorted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows in the order of their words, and what neighbours have in common."""
     if not rows.shape[1]:
         return np.arange(len(rows)), np.zeros(len(rows), np.int64)
-    order = np.argsort(np.ascontiguousarray(rows.astype(">u4")).view(f"S{4 * rows.shape[1]}")[:, 0], kind="stable")
+    order = np.argsort(rows.astype(">u4").view(f"S{4 * rows.shape[1]}")[:, 0], kind="stable")
     return order, _common(rows[order])
 
 
@@ -96,16 +96,20 @@ class SparseSuffixes:
 
     def late(self, bodies, bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
         code = defaultdict(count(1).__next__)
-        flat = np.fromiter(map(code.__getitem__, b" ".join([text for text, _ in bodies]).split(b" ")), np.uint32)
-        flat = np.append(flat, np.uint32(0))  # 0 where there is no word
-        sizes = np.array([text.count(b" ") + 1 for text, _ in bodies])
-        at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        left = np.array([n for _, n in bodies])
-        ahead, behind = np.arange(self.window_words), np.arange(1, self.width)
-        place = (at + left)[:, None] + ahead
-        right_order, right = _sorted(flat[np.where(place < (at + sizes)[:, None], place, len(flat) - 1)])
-        place = (at + left)[:, None] - behind
-        left_order, left = _sorted(flat[np.where(place >= at[:, None], place, len(flat) - 1)])
+        sizes = np.array([text.count(b" ") + 1 for text, _ in bodies], np.int32)
+        at = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int32)
+        flat = np.zeros(sizes.sum() + 1, np.uint32)  # the last is 0: no word there
+        flat[:-1] = np.fromiter(map(code.__getitem__, chain.from_iterable(text.split(b" ") for text, _ in bodies)), np.uint32, len(flat) - 1)
+        del code
+        middle = at + np.array([n for _, n in bodies], np.int32)
+
+        def around(steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            place = middle[:, None] + steps.astype(np.int32)
+            place[(place < at[:, None]) | (place >= (at + sizes)[:, None])] = len(flat) - 1
+            return _sorted(flat[place])
+
+        right_order, right = around(np.arange(self.window_words))
+        left_order, left = around(-np.arange(1, self.width))
         late = np.zeros(bits.shape, bool)
         by_id = np.argsort(ids, kind="stable")
         right_class, left_class = np.empty(len(ids), np.int64), np.empty(len(ids), np.int64)

@@ -135,7 +135,8 @@ def remove_repeats(docs: DataFrame, method: Method, id_col: str = "doc_id", text
     size = total_bytes(docs, text_col)
     chunk_bytes = chunk_size(size, chunk_bytes)
     chunks = max(8, n_chunks(size, chunk_bytes))
-    buckets = max(8, n_chunks(size, 4 * chunk_bytes))
+    # Ranges of anchors, and, as entries are larger, more ranges of entries.
+    buckets, ranges = max(8, n_chunks(size, 4 * chunk_bytes)), max(8, n_chunks(size, chunk_bytes))
     dealt = in_chunks(docs, id_col, text_col, chunks, carry)
 
     def send_anchors(key, table):
@@ -147,7 +148,7 @@ def remove_repeats(docs: DataFrame, method: Method, id_col: str = "doc_id", text
         found = _states(method, Words(table), known, buckets) if len(table) and len(known) else None
         if found is None:
             return SENT_ARROW.empty_table()
-        order, cuts = _order(found, buckets)
+        order, cuts = _order(found, ranges)
         rows = []
         for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
             part = order[cuts[b] : cuts[b + 1]]
@@ -161,7 +162,7 @@ def remove_repeats(docs: DataFrame, method: Method, id_col: str = "doc_id", text
         found = _states(method, words, known, buckets) if len(known) else None
         starts = np.empty(0, np.int64)
         if found is not None:
-            order, cuts = _order(found, buckets)
+            order, cuts = _order(found, ranges)
             late = np.zeros(found.bits.shape, bool)
             for b, places, raw in zip(*(said[c].to_pylist() for c in ("bucket", "places", "late"))):
                 own = order[cuts[b] + np.frombuffer(places, np.uint32).astype(np.int64)]
