@@ -41,6 +41,14 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until no column of df is called so, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 # ---------------------------------------------------------------- words and hashes
 class _Hashes(dict):
     """Word -> 64-bit hash; forgets everything when full, so memory stays bounded."""
