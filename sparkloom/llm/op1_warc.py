@@ -1,16 +1,18 @@
 """WARC archives: a deterministic, sharded writer and a reader.
 
 Writing.  Records are range-sorted by page id into shards; each shard streams its records into files that roll when
-their compressed size passes ``roll_bytes``.  Every header and digest is made anew from the payload, nothing depends on
-clock or chance, so a task that runs again writes the same bytes.  A file is written under a temporary name for each
-attempt and renamed when whole; the manifest, committed after all shards, names the files that count.
+their compressed size passes ``roll_bytes``.  Shard bounds come from exact sums of bytes by id range, never from a sample,
+so they depend on the pages alone, not on how these are partitioned.  Every header and digest is made anew from the
+payload, nothing depends on clock or chance, so another run writes the same bytes.  A file is written under a temporary
+name for each attempt and renamed when whole; the manifest, committed after all shards, names the files that count.
 
 Of records with equal payloads of at least ``least_bytes``, that with the largest id is the response and the others are
 revisits.  Which pages repeat is settled on digests alone; the verdicts travel to the writer as rows that sort just
 before their page, so payloads are shuffled once.
 
 Defined results.  Null html: empty payload.  Null url: an empty target.  Null id: sorts first, never a response for
-others.  Rows repeated with one id: the first is the response, the others revisit it.  Empty table: no files, no rows.
+others.  Rows repeated with one id: the first is the response, the others revisit it.  An id (or null) with more bytes
+than a shard holds goes to several shards, by digest.  Empty table: no files, no rows.
 Very long payloads are streamed to the file, one record at a time in memory.  Other columns are not read.
 """
 
@@ -29,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import n_chunks, new_folder
+from .common import n_chunks, new_folder, settle
 
 MANIFEST = "file string, shard int, records long, bytes long, sha1 string"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -102,30 +104,95 @@ class _Roller:
         return self.name, self.shard, self.records, self.size, self.sum.hexdigest()
 
 
-def write_warc(pages: DataFrame, folder: str, roll_bytes: int = 64 << 20, shard_bytes: int = 32 << 20, least_bytes: int = 1000, date: str = "2024-01-01T00:00:00Z", level: int = 6) -> DataFrame:
-    """Write pages (page_id, url, html) under folder and return the manifest, which is committed at folder/manifest."""
+def _shards(sizes: DataFrame, shard_bytes: int, bits: int = 4) -> tuple[list[tuple[int, list[tuple]]], int]:
+    """Levels (shift, [(cell, first shard, number of shards)]) and the number of shards, for sizes (page_id, size).
+
+    A cell holds the ids with equal ``id >> shift``; one that holds more than a quarter of a shard is split further by
+    ``bits``, down to single ids.  Only cells reach the driver: at most 2 ** bits for each quarter of a shard, and the first
+    ones, 64 a shard.
+    """
+    stats = sizes.agg(F.min("page_id").alias("low"), F.max("page_id").alias("high"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.coalesce(F.sum(F.when(F.col("page_id").isNull(), F.col("size") + 1)), F.lit(0)).alias("none")).first()
+    cells: dict[int, dict[int, int]] = {}
+    if stats["low"] is not None:
+        most, shift = 64 * n_chunks(stats["bytes"], shard_bytes), 0
+        while (stats["high"] >> shift) - (stats["low"] >> shift) >= most:
+            shift += 1
+        open_ = sizes.where("page_id is not null")
+        while True:
+            own = cells[shift] = {r["cell"]: r["bytes"] for r in open_.groupBy(F.shiftright("page_id", shift).alias("cell")).agg(F.sum("size").alias("bytes")).collect()}
+            heavy = [c for c, n in own.items() if 4 * n > shard_bytes and shift]
+            if not heavy:
+                break
+            for c in heavy:
+                del own[c]
+            split = sizes.sparkSession.createDataFrame([(c,) for c in heavy], "cell long")
+            open_ = open_.withColumn("cell", F.shiftright("page_id", shift)).join(F.broadcast(split), "cell", "left_semi").drop("cell")
+            shift = max(0, shift - bits)
+    placed: dict[int, list[tuple]] = {shift: [] for shift in cells}
+    shard, filled = -(-stats["none"] // shard_bytes), 0
+    null_shards = shard
+    for _, shift, cell, n in sorted((cell << shift, shift, cell, n) for shift, own in cells.items() for cell, n in own.items()):
+        if n > shard_bytes and not shift:
+            shard, filled = shard + (filled > 0), 0
+            k = -(-n // shard_bytes)
+            placed[shift].append((cell, shard, k))
+            shard += k
+            continue
+        if filled and filled + n > shard_bytes:
+            shard, filled = shard + 1, 0
+        placed[shift].append((cell, shard, 1))
+        filled += max(n, 1)
+    return [(-1, [(0, 0, null_shards)]), *placed.items()], max(shard + (filled > 0), 1)
+
+
+def _with_shard(rows: DataFrame, levels: list[tuple[int, list[tuple]]]) -> DataFrame:
+    """rows with the column shard, by page_id and, where an id has several shards, by digest."""
+    null_shards = levels[0][1][0][2]
+    first, k = F.when(F.col("page_id").isNull(), 0), F.when(F.col("page_id").isNull(), max(null_shards, 1))
+    for shift, cells in levels[1:]:
+        # As many rows as the cells that the driver has just made.
+        table = rows.sparkSession.createDataFrame(cells, f"cell{shift} long, first{shift} int, k{shift} int")
+        rows = rows.join(F.broadcast(table), F.shiftright("page_id", shift) == F.col(f"cell{shift}"), "left")
+        first, k = F.coalesce(first, f"first{shift}"), F.coalesce(k, f"k{shift}")
+    return rows.withColumn("shard", (first + F.pmod(F.xxhash64("digest"), k)).cast("int"))
+
+
+def write_warc(pages: DataFrame, folder: str, roll_bytes: int = 64 << 20, shard_bytes: int = 32 << 20, least_bytes: int = 1000, date: str = "2024-01-01T00:00:00Z", level: int = 6, least_shards: int = 8) -> DataFrame:
+    """Write pages (page_id, url, html) under folder and return the manifest, which is committed at folder/manifest.
+
+    Small tables get smaller shards, so that there are about ``least_shards``, and roll at an eighth of a shard's bytes.
+    """
     spark = pages.sparkSession
     body = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("body"))
-    narrow = rows.select("page_id", F.sha1("body").alias("digest"), F.octet_length("body").alias("size")).where(F.col("size") >= least_bytes)
-    repeated = narrow.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 and refers_to is not null").drop("n")
-    verdicts = narrow.join(repeated, "digest").where("page_id is null or page_id <> refers_to")
+    narrow = settle(rows.select("page_id", F.sha1("body").alias("digest"), F.octet_length("body").cast("long").alias("size")), "digests")
+    total = narrow.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    shard_bytes = max(1, min(shard_bytes, -(-total // least_shards)))
+    roll_bytes = min(roll_bytes, max(1 << 16, shard_bytes // 8))
+    levels, shards = _shards(narrow, shard_bytes)
+    large = narrow.where(F.col("size") >= least_bytes)
+    repeated = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 and refers_to is not null").drop("n")
+    verdicts = large.join(repeated, "digest").where("page_id is null or page_id <> refers_to")
     both = verdicts.select("page_id", F.lit(0).alias("kind"), "digest", "refers_to", F.lit("").alias("url"), F.lit(b"").alias("body")).union(
         rows.select("page_id", F.lit(1), F.sha1("body"), F.lit(None).cast("long"), "url", "body")
     )
-    shards = n_chunks(rows.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0], shard_bytes)
 
     def write(batches):
-        roller, run, refers, seen, done = None, object(), {}, set(), []
+        roller, place, refers, seen, done = None, object(), {}, set(), []
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 for row in batch.slice(at, 256).to_pylist():
-                    if row["page_id"] != run:
-                        run, refers, seen = row["page_id"], {}, set()
+                    run = row["page_id"]
+                    if (row["shard"], run) != place:
+                        if roller and roller.shard != row["shard"]:
+                            if roller.out:
+                                done.append(roller.close())
+                            roller = None
+                        place, refers, seen = (row["shard"], run), {}, set()
                     if row["kind"] == 0:
                         refers[row["digest"]] = row["refers_to"]
                         continue
-                    roller = roller or _Roller(folder, TaskContext.get().partitionId(), roll_bytes, level)
+                    roller = roller or _Roller(folder, row["shard"], roll_bytes, level)
                     digest, large = row["digest"], len(row["body"]) >= least_bytes
                     again = large and digest in seen
                     target = refers.get(digest, run if again else None)
@@ -138,7 +205,8 @@ def write_warc(pages: DataFrame, folder: str, roll_bytes: int = 64 << 20, shard_
         names = [x.split()[0] for x in MANIFEST.split(", ")]
         yield pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in done], schema=pa.schema([("file", pa.string()), ("shard", pa.int32()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha1", pa.string())]))
 
-    sorted_ = both.repartitionByRange(shards, "page_id").sortWithinPartitions("page_id", "kind", "digest", "url")
+    columns = ["shard", "page_id", "kind", "digest", "refers_to", "url", "body"]
+    sorted_ = _with_shard(both, levels).select(*columns).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "page_id", "kind", "digest", "url")
     sorted_.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
