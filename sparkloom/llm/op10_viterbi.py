@@ -1,24 +1,31 @@
 """Encoding with a SentencePiece vocabulary, and decoding, by a max-plus parallel scan.
 
-The encoding of a text is the segmentation into pieces with the largest sum of the vocabulary's scores.  In a vocabulary
-whose pieces hold the space mark at their start only, a piece boundary lies before each run of spaces, so ordinary texts
-fall into units that are solved once and remembered.
+The encoding of a text is the segmentation into pieces with the largest sum of log probabilities, as SentencePiece's
+unigram model encodes.  A unigram file holds these.  A BPE file holds merge ranks, which are no log probabilities; there a
+piece's probability follows Zipf's law, 1 / (rank + 1) over their sum, so encodings depend on the file alone.  Scores are
+rounded to 2 ** -16, so sums are exact and do not depend on where a text is cut.  In a vocabulary whose pieces hold the
+space mark at their start only, a piece boundary lies before each run of spaces, so ordinary texts fall into units that are
+solved once and remembered.
 
 A giant text is cut into chunks anywhere.  A chunk's boundary state says by how many characters the piece that crosses its
 start reaches into it; the chunk yields the matrix of best scores from each state at its start to each at its end.  These
-matrices are combined associatively (max, plus) by a doubling scan, which gives every chunk the true scores at its start;
-then each chunk is traced back on its own, and the states at the boundaries pick among its traces.
+matrices are combined associatively (max, plus) in a tree of groups of ``fan`` neighbours, up to one matrix for the text and
+down again to the true scores at every chunk's start.  From these each chunk tells, for each state at its end, the state at
+its start on the best path; the states chosen follow from the end of the text; then each chunk is traced back on its own,
+between its two states, and only that trace is sent.
 
 Equal sums: at each position the longest piece wins, so chunked and whole encodings are the same.
 
 Defined results.  Null or empty text: no ids, score 0, decoded to the empty text.  Characters without a piece, the space
-mark itself among them, go by their bytes.  Null ids and repeated rows: each row for itself.  Empty table: no rows.
-Other columns are not read.
+mark itself among them, go by their bytes, at the lowest score less 10 for each such character.  Null ids and repeated
+rows: each row for itself.  Empty table: no rows.  Other columns are not read.  A text is one row and so shorter than 2 ** 31
+bytes: the states of its chunks, 16 bytes for each 8192 characters, are gathered in one task, and its ids are one row again.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from array import array
 
@@ -51,6 +58,22 @@ class _Units(dict):
         return ids
 
 
+NEVER = -1e8
+
+
+def log_probabilities(scores: dict[int, float]) -> dict[int, float]:
+    """Scores as log probabilities, in steps of 2 ** -16; merge ranks (0, -1, -2, ...) go by Zipf's law.
+
+    A score so low that it only marks a piece becomes the lowest other less 10; -1 has that score as well.
+    """
+    used = [s for s in scores.values() if s > NEVER]
+    if used and all(s <= 0 and s == int(s) for s in used) and len(set(used)) == len(used):
+        whole = math.log(sum(1 / (1 - s) for s in used))
+        scores = {i: -math.log(1 - s) - whole if s > NEVER else s for i, s in scores.items()}
+    lowest = min((s for s in scores.values() if s > NEVER), default=0.0) - 10
+    return {i: round(max(s, lowest) * 65536) / 65536 for i, s in (scores | {-1: lowest}).items()}
+
+
 class Vocabulary:
     def __init__(self, path: str):
         import sentencepiece
@@ -64,9 +87,10 @@ class Vocabulary:
         self.byte = {b: i for i, b in self.byte_of.items()}
         if len(self.byte) != 256:
             raise ValueError("the vocabulary needs a piece for every byte")
-        self.piece = {p: (sp.get_score(i), i) for i, p in self.text.items()}
-        # Below any piece, for each byte of a character that has none; scores that mark a piece as never to be used aside.
-        self.floor = min((s for s, _ in self.piece.values() if s > -1e8), default=0.0) - 10
+        found = log_probabilities({i: sp.get_score(i) for i in plain})
+        self.piece = {p: (found[i], i) for i, p in self.text.items()}
+        # Below other pieces: for each character that has none, and for pieces marked as hardly to be used.
+        self.floor = min(found.values(), default=0.0)
         self.longest = max(map(len, self.piece), default=1)
         # Whether runs of the space mark begin a unit: the mark stands inside no piece that begins otherwise.
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.piece)
@@ -77,7 +101,9 @@ class Vocabulary:
             for c in p[:-1]:
                 at = at.setdefault(c, (NONE, -1, {}))[2]
             at[p[-1]] = (score, i, {})
-        self.scores = np.full(sp.vocab_size(), float(self.floor))
+        # A character without a piece is scored at its first byte.
+        self.scores = np.zeros(sp.vocab_size())
+        self.scores[[i for b, i in self.byte.items() if b < 0x80 or b >= 0xC0]] = self.floor
         self.scores[plain] = [self.piece[self.text[i]][0] for i in plain]
         self.units = _Units(self)
 
@@ -88,9 +114,6 @@ class Vocabulary:
         found = self.piece.get(piece)
         return [found[1]] if found else [self.byte[b] for b in (SPACE if piece == LITERAL else piece).encode()]
 
-    def unknown(self, char: str) -> float:
-        return self.floor * len((SPACE if char == LITERAL else char).encode())
-
     def forward(self, text: str, start: dict[int, float], until: int) -> tuple[list[float], list[int]]:
         """Best scores at the positions of text, and where the piece that ends there starts; entries are fixed scores.
 
@@ -104,7 +127,7 @@ class Vocabulary:
         for a in range(min(until, n)):
             if (at := best[a]) == NONE:
                 continue
-            if text[a] not in self.piece and (score := at + self.unknown(text[a])) > best[a + 1]:
+            if text[a] not in self.piece and (score := at + self.floor) > best[a + 1]:
                 best[a + 1], back[a + 1] = score, a
             node = tree
             for b in range(a, n):
@@ -135,7 +158,7 @@ class Vocabulary:
         best[0] = 0.0
         for a in range(n):
             at, node = best[a], tree
-            if text[a] not in self.piece and (score := at + self.unknown(text[a])) > best[a + 1]:
+            if text[a] not in self.piece and (score := at + self.floor) > best[a + 1]:
                 best[a + 1], back[a + 1], ids[a + 1] = score, a, -1
             for b in range(a, n):
                 found = node.get(text[b])
@@ -219,21 +242,36 @@ class Vocabulary:
         part = best[size : size + len(row)]
         row[: len(part)] = part
 
-    def traces(self, text: str, size: int, entry: np.ndarray) -> list[tuple[int, int, bytes]]:
-        """(exit state, entry state, ids) of the best path to each exit, given true scores at the entries."""
+    def entered(self, text: str, size: int, entry: np.ndarray) -> np.ndarray:
+        """For each state at the end the state at the start on the best path, given true scores at the start; -1 for none."""
         start = {e: s for e, s in enumerate(entry.tolist()) if s != NONE}
         states = len(entry)
         first = self.first_cut(text, states, size)
-        last = self.last_cut(text, first, size) if first >= 0 else -1
+        if first >= 0:  # all paths meet there
+            return np.full(states, self._entry(self.forward(text[:first], start, first)[1], first), np.int16)
+        best, back = self.forward(text, start, size)
+        return np.array([self._entry(back, size + x) if size + x < len(best) and best[size + x] != NONE else -1 for x in range(states)], np.int16)
+
+    @staticmethod
+    def _entry(back: list[int], end: int) -> int:
+        while (a := back[end]) >= 0:
+            end = a
+        return end
+
+    def leaves(self, text: str, size: int, entry: np.ndarray) -> float:
+        """The best score at the end of the last chunk."""
+        return float((entry + self.matrix(text, size, len(entry))[:, 0]).max())
+
+    def between(self, text: str, size: int, enter: int, leave: int) -> bytes:
+        """The ids of the best path from the state enter to the state leave."""
         pack = lambda ids: np.array(ids, np.int32).tobytes()
+        first = self.first_cut(text, max(enter, 1), size)
+        last = self.last_cut(text, first, size) if first >= 0 else -1
         if first < 0 or last < 0:
-            best, back = self.forward(text, start, size)
-            ends = [x for x in range(states) if size + x <= len(text) and best[size + x] != NONE]
-            return [(x, e, pack(ids)) for x in ends for ids, e in [self.trace(text, back, size + x)]]
-        ids, e = self.trace(text[:first], self.forward(text[:first], start, first)[1], first)
-        common = pack(ids) + b"".join(map(self.units.__getitem__, self.split(text[first:last])))
-        best, back = self.forward(text[last:], {0: 0.0}, size - last)
-        return [(x, e, common + pack(self.trace(text[last:], back, size - last + x)[0])) for x in range(states) if size - last + x < len(best) and best[size - last + x] != NONE]
+            return pack(self.trace(text, self.forward(text, {enter: 0.0}, size)[1], size + leave)[0])
+        head = self.trace(text[:first], self.forward(text[:first], {enter: 0.0}, first)[1], first)[0]
+        tail = self.trace(text[last:], self.forward(text[last:], {0: 0.0}, size - last)[1], size - last + leave)[0]
+        return pack(head) + b"".join(map(self.units.__getitem__, self.split(text[first:last]))) + pack(tail)
 
 
 def vocabulary(path: str) -> Vocabulary:
@@ -247,13 +285,54 @@ def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
 
 
-def prefixes(matrices: list[np.ndarray]) -> list[np.ndarray]:
-    """Products of the first 1, 2, ... matrices, by doubling steps."""
-    out, step = list(matrices), 1
-    while step < len(out):
-        out = [times(out[i - step], m) if i >= step else m for i, m in enumerate(out)]
-        step *= 2
-    return out
+def product(matrices: list[np.ndarray]) -> np.ndarray:
+    """Of neighbours in order, combined in a tree."""
+    while len(matrices) > 1:
+        matrices = [times(*matrices[i : i + 2]) if i + 1 < len(matrices) else matrices[i] for i in range(0, len(matrices), 2)]
+    return matrices[0]
+
+
+def _square(raw: bytes) -> np.ndarray:
+    m = np.frombuffer(raw)
+    return m.reshape(math.isqrt(len(m)), -1)
+
+
+def entries(matrices: DataFrame, chunks: int, fan: int) -> DataFrame:
+    """(row, k, entry) for matrices (row, k, m): the true scores at the start of each chunk, of at most ``chunks`` a row.
+
+    Up a tree of groups of ``fan`` neighbours, then down; a task holds one group, and a level a fan-th of the one below.
+    """
+    levels = [matrices]
+    while chunks > fan:
+        chunks = -(-chunks // fan)
+
+        def up(key, table):
+            order = table.sort_by("k")
+            return pa.table({"row": order["row"].slice(0, 1), "k": [key[1].as_py()], "m": [product([_square(x) for x in order["m"].to_pylist()]).tobytes()]}, schema=pa.schema([("row", pa.int64()), ("k", pa.int32()), ("m", pa.binary())]))
+
+        levels.append(settle(levels[-1].groupBy("row", F.floor(F.col("k") / fan).cast("int")).applyInArrow(up, "row long, k int, m binary"), "matrices"))
+
+    def along(table: pa.Table, at: np.ndarray) -> pa.Table:
+        order, found = table.sort_by("k"), []
+        for x in order["m"].to_pylist():
+            found.append(at.tobytes())
+            at = (at[:, None] + _square(x)).max(axis=0)
+        return pa.table({"row": order["row"], "k": order["k"], "entry": pa.array(found, pa.binary())})
+
+    def top(key, table):
+        at = np.full(len(_square(table["m"][0].as_py())), NONE)
+        at[0] = 0.0
+        return along(table, at)
+
+    def down(key, table, above):
+        return along(table, np.frombuffer(above["entry"][0].as_py()))
+
+    schema = "row long, k int, entry binary"
+    found = levels.pop().groupBy("row").applyInArrow(top, schema)
+    while levels:
+        above = found.withColumnRenamed("k", "group").groupBy("row", "group")
+        found = levels.pop().groupBy("row", F.floor(F.col("k") / fan).cast("int")).cogroup(above).applyInArrow(down, schema)
+    return found
 
 
 def _lists(raw: list[bytes]) -> pa.ListArray:
@@ -261,7 +340,7 @@ def _lists(raw: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.frombuffer(b"".join(raw), np.int32)))
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", giant: int = 32768, chunk: int = 8192) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", giant: int = 32768, chunk: int = 8192, fan: int = 64) -> DataFrame:
     """(doc_id, ids array<int>, score) for each row; texts of more than ``giant`` characters go through the scan in chunks."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
@@ -294,35 +373,45 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             out = [v.matrix(p.decode("utf-8", "surrogatepass"), s, v.longest).tobytes() for p, s in zip(batch.column("piece").to_pylist(), batch.column("size").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("k"), pa.array(out, pa.binary())], ["row", "k", "m"])
 
-    def scan(key, table):
+    def enter(batches):
         v = vocabulary(path)
-        order = table.sort_by("k")
-        at = np.full(v.longest, NONE)
-        at[0] = 0.0
-        through = prefixes([np.frombuffer(m).reshape(v.longest, v.longest) for m in order["m"].to_pylist()])
-        entries = [at, *[(at[:, None] + m).max(axis=0) for m in through]]
-        return pa.table({"row": order["row"], "k": order["k"], "entry": pa.array([e.tobytes() for e in entries[:-1]], pa.binary()), "score": pa.array([float(entries[-1][0])] * len(order), pa.float64())})
+        for batch in batches:
+            for r in batch.to_pylist():
+                entry = np.frombuffer(r["entry"])
+                found = v.entered(r["piece"].decode("utf-8", "surrogatepass"), r["size"], entry).tobytes()
+                score = None
+                if r["last"]:  # the last matrix row that leaves at the very end
+                    score = v.leaves(r["piece"].decode("utf-8", "surrogatepass"), r["size"], entry)
+                yield pa.RecordBatch.from_pylist([{"row": r["row"], "k": r["k"], "enter": found, "score": score}], schema=pa.schema([("row", pa.int64()), ("k", pa.int32()), ("enter", pa.binary()), ("score", pa.float64())]))
+
+    def choose(key, table):
+        order, state, rows = table.sort_by([("k", "descending")]), 0, []
+        for raw in order["enter"].to_pylist():
+            leave, state = state, int(np.frombuffer(raw, np.int16)[state])
+            rows.append((state, leave))
+        score = order["score"][0].as_py()
+        return pa.table({"row": order["row"], "k": order["k"], "enter": pa.array([e for e, _ in rows], pa.int32()), "leave": pa.array([x for _, x in rows], pa.int32()), "score": pa.array([score] * len(rows), pa.float64())})
 
     def traced(batches):
         v = vocabulary(path)
         for batch in batches:
             for r in batch.to_pylist():
-                found = v.traces(r["piece"].decode("utf-8", "surrogatepass"), r["size"], np.frombuffer(r["entry"]))
-                yield pa.RecordBatch.from_pylist([{"row": r["row"], "doc_id": r["doc_id"], "k": r["k"], "score": r["score"], "leave": x, "enter": e, "raw": ids} for x, e, ids in found if x == 0 or not r["last"]], schema=pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("k", pa.int32()), ("score", pa.float64()), ("leave", pa.int32()), ("enter", pa.int32()), ("raw", pa.binary())]))
+                raw = v.between(r["piece"].decode("utf-8", "surrogatepass"), r["size"], r["enter"], r["leave"])
+                yield pa.RecordBatch.from_pylist([{"row": r["row"], "doc_id": r["doc_id"], "k": r["k"], "score": r["score"], "raw": raw}], schema=pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("k", pa.int32()), ("score", pa.float64()), ("raw", pa.binary())]))
 
-    def choose(key, table):
-        rows = {(k, x): (e, raw) for k, x, e, raw in zip(*(table[c].to_pylist() for c in ("k", "leave", "enter", "raw")))}
-        state, parts = 0, []
-        for k in range(max(k for k, _ in rows), -1, -1):
-            state, raw = rows[k, state]
-            parts.append(raw)
-        return pa.table({"doc_id": table["doc_id"].slice(0, 1), "ids": _lists([b"".join(reversed(parts))]), "score": table["score"].slice(0, 1)})
+    def joined(key, table):
+        order = table.sort_by("k")
+        return pa.table({"doc_id": order["doc_id"].slice(0, 1), "ids": _lists([b"".join(order["raw"].to_pylist())]), "score": order["score"].slice(0, 1)})
 
     giants = rows.where(F.length("text") > giant).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    pieces = settle(giants.mapInArrow(cut, "row long, doc_id long, k int, size int, last boolean, piece binary"), "giants").repartition("row", "k")
-    entries = pieces.mapInArrow(matrices, "row long, k int, m binary").groupBy("row").applyInArrow(scan, "row long, k int, entry binary, score double")
-    paths = pieces.join(entries, ["row", "k"]).mapInArrow(traced, "row long, doc_id long, k int, score double, leave int, enter int, raw binary")
-    return ordinary.unionByName(paths.groupBy("row").applyInArrow(choose, schema))
+    pieces = settle(giants.mapInArrow(cut, "row long, doc_id long, k int, size int, last boolean, piece binary"), "giants")
+    most = pieces.agg(F.coalesce(F.max("k"), F.lit(0))).first()[0] + 1
+    pieces = pieces.repartition("row", "k")
+    starts = entries(settle(pieces.mapInArrow(matrices, "row long, k int, m binary"), "matrices"), most, fan)
+    maps = pieces.join(starts, ["row", "k"]).mapInArrow(enter, "row long, k int, enter binary, score double")
+    states = settle(maps.groupBy("row").applyInArrow(choose, "row long, k int, enter int, leave int, score double"), "states")
+    paths = pieces.join(states, ["row", "k"]).mapInArrow(traced, "row long, doc_id long, k int, score double, raw binary")
+    return ordinary.unionByName(paths.groupBy("row").applyInArrow(joined, schema))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
