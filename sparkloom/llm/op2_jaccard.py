@@ -7,9 +7,11 @@ frequent ones in combinations of k = 2; a shingle of one document alone is not i
 ``combined`` shingles index frequent shingles singly, and sets near that size both ways, so that combinations stay few.)
 
 In each index list, members are first compared with a few neighbours in a random order; links found contract to
-components.  Then members of lists that still hold several components are compared across components, in a join whose
-condition bounds the overlap by sizes and by parity bitmaps, so only plausible pairs leave it.  Every pair that leaves is
-verified exactly.  No pair of a component is needed twice, no pair is left out that could join two components.
+components.  The lists are dealt by ranges of (key, order), so a list of any length spreads over many tasks.  Then members
+of lists that still hold several components are compared across components, in a join whose condition bounds the overlap by
+sizes and by parity bitmaps, so only plausible pairs leave it; a long list is dealt in blocks, each compared with the whole.
+Every pair that leaves is verified exactly.  No pair of a component is needed twice, no pair is left out that could join two
+components.
 
 Defined results.  Null or empty text, or no words: an empty set, linked with nothing, its own component.  Every row
 goes by its own text, be its id null or repeated with other texts; component_id is the smallest id among the rows of the
@@ -23,7 +25,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import counting
@@ -33,7 +35,9 @@ from .components import components
 #: Longs of the bitmap that neighbours are compared by, and of that used across components.
 NARROW, WIDE = 4, 16
 PROFILE = ", ".join(["doc long, n long, tokens binary", *[f"b{i} long" for i in range(NARROW)], *[f"w{i} long" for i in range(WIDE)], "keys array<long>"])
-NEIGHBOURS, ORDERS, RARE, COMBINED = 3, 6, 64, 400
+#: Neighbours compared in each order, orders, documents of a rare shingle, shingles of a set that combines frequent ones,
+#: members of a block of a long list.
+NEIGHBOURS, ORDERS, RARE, COMBINED, BLOCK = 3, 6, 64, 400, 4096
 
 
 def shingles(body: bytes, size: int) -> np.ndarray:
@@ -139,33 +143,66 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return settle(pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(check, "a long, b long"), "links")
 
 
-def link(sets: DataFrame, percent: int, neighbours: int = NEIGHBOURS) -> DataFrame:
+def _beside(percent: int, neighbours: int):
+    """Plausible pairs of rows (key, doc, n, bitmap), sorted by key, at most ``neighbours`` places apart in one list.
+
+    A task's first and last key come with b null: their lists may go on in another task.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(batches):
+        left = key = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            if key is None:
+                yield pa.RecordBatch.from_pydict({"a": batch.column("key")[:1], "b": [None]}, schema=schema)
+            rows = [batch.column(c).to_numpy() for c in ("key", "doc", "n", *[f"b{i}" for i in range(NARROW)])]
+            rows = rows if left is None else [np.concatenate([x, y]) for x, y in zip(left, rows)]
+            key, doc, n, *bits = rows
+            found = []
+            for r in range(1, neighbours + 1):
+                i = np.flatnonzero((key[r:] == key[:-r]) & (doc[r:] != doc[:-r]))
+                j = i + r
+                differ = sum(np.bitwise_count(b[i] ^ b[j]).astype(np.int64) for b in bits)
+                most = (n[i] + n[j] - differ) // 2
+                fit = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (100 * most >= percent * (n[i] + n[j] - most))
+                found.append(np.stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])])[:, fit])
+            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+            left = [x[-neighbours:] for x in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], schema=schema)
+        if key is not None:
+            yield pa.RecordBatch.from_pydict({"a": key[-1:], "b": [None]}, schema=schema)
+
+    return compare
+
+
+def link(sets: DataFrame, percent: int, neighbours: int = NEIGHBOURS, block: int = BLOCK) -> DataFrame:
     """(id, component) of the representatives that link with any other."""
     members = ["doc", "n", *[f"b{i}" for i in range(NARROW)]]
     wide = sets.select("doc", "n", *[f"w{i}" for i in range(WIDE)])
     index = sets.select(F.explode("keys").alias("key"), *members)
     few = sets.select(F.explode(F.slice(F.sort_array("keys"), 1, ORDERS)).alias("key"), *members)
 
-    def near(lists: DataFrame, order: int) -> DataFrame:
-        ordered = Window.partitionBy("key").orderBy(F.xxhash64("doc", F.lit(order)), "doc")
-        beside = lists.select(F.struct(*members).alias("l"), F.array(*[F.lag(F.struct(*members), r).over(ordered) for r in range(1, neighbours + 1)]).alias("rs"))
-        beside = beside.select("l", F.explode(F.expr(f"filter(rs, r -> r IS NOT NULL AND r.doc <> l.doc AND {_plausible('l', 'r', percent)})")).alias("r"))
-        return beside.select(F.least("l.doc", "r.doc").alias("a"), F.greatest("l.doc", "r.doc").alias("b"))
-
     # Every list in one order; of each set a few lists, which near copies tend to share, in further orders.
-    found = near(index, 0)
-    for order in range(1, ORDERS + 1):
-        found = found.unionByName(near(few, order))
-    pairs = settle(found.distinct(), "pairs")
+    lists = index.withColumn("order", F.lit(0)).unionByName(few.withColumn("order", F.explode(F.sequence(F.lit(1), F.lit(ORDERS)))))
+    lists = lists.withColumns({"key": F.xxhash64("key", "order"), "order": F.xxhash64("doc", "order")}).repartitionByRange("key", "order").sortWithinPartitions("key", "order")
+    pairs = settle(lists.select("key", *members).mapInArrow(_beside(percent, neighbours), "a long, b long").distinct(), "pairs")
+    # Two keys a task at most.
+    cut = F.broadcast(pairs.where("b is null").select(F.col("a").alias("cut")))
+    pairs = pairs.where("b is not null")
     links = _verify(pairs, sets, percent)
 
     def crossing(lists: DataFrame, label: DataFrame, least: int) -> DataFrame:
-        """Links between components as they stand, of members of one list; lists of fewer than least members have been compared whole."""
+        """Links between components as they stand, of members of one list; uncut lists of fewer than least members have been compared whole."""
         owned = lists.select("key", "doc").join(label.withColumnRenamed("id", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("root"))
         groups = owned.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).getField("root").alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("c").alias("size"))
-        open_ = settle(groups.where(f"roots > 1 AND size >= {least}").select("key", "main"), "open")
+        groups = groups.where("roots > 1").join(cut, F.xxhash64("key", F.lit(0)) == F.col("cut"), "left")
+        open_ = settle(groups.where(f"size >= {least} OR cut IS NOT NULL").select("key", "main", F.ceil(F.col("size") / block).cast("int").alias("blocks")), "open")
         owned = settle(owned.join(open_, "key").join(wide, "doc"), "owned")
-        across = owned.where("root <> main").alias("l").join(owned.alias("r"), F.expr(f"l.key = r.key AND l.root <> r.root AND (r.root = r.main OR l.doc < r.doc) AND {_plausible('l', 'r', percent, 'w', WIDE)}"))
+        one = owned.where("root <> main").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+        other = owned.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        across = one.alias("l").join(other.alias("r"), F.expr(f"l.key = r.key AND l.block = r.block AND l.root <> r.root AND (r.root = r.main OR l.doc < r.doc) AND {_plausible('l', 'r', percent, 'w', WIDE)}"))
         return _verify(across.select(F.least("l.doc", "r.doc").alias("a"), F.greatest("l.doc", "r.doc").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), sets, percent)
 
     label = settle(components(links), "components")
