@@ -5,12 +5,13 @@ Each rule votes clean, votes junk or abstains on a document.  Votes are counted
 rule, how often it votes junk on junk and on clean documents, and the share of junk.  A document is kept when its
 posterior probability of being clean is at least one half, so no single rule decides.
 
-Only the driver loop and 2 * rules + 1 numbers live outside Spark.  Features are computed once and settled in the shared
-folder; there is no shuffle but that of the pattern counts.
+Only the counts of patterns, at most 6561 rows, and the estimates from them live outside Spark.  Features are computed once
+and settled in the shared folder; there is no shuffle but that of the pattern counts, and one of the rows where a table has
+fewer splits than the cluster has cores.
 
 Defined results.  Null or empty text: zero counts, base_failed, not kept, posterior of the votes cast.  Null ids and
 repeated rows: each row is judged for itself.  Empty table: no rows.  Very long texts: sorting, never pairs of positions.
-Other columns are not read by ``score_quality`` and pass unchanged through ``keep_quality``.
+Other columns are not read by ``score_quality`` and pass unchanged, whatever their names, through ``keep_quality``.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ SPLIT = "[ \\t\\n\\x0B\\f\\r]+"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Strength of the prior that anchors the estimates, in documents, and its values on junk and on clean documents.
 PRIOR, ON_JUNK, ON_CLEAN, JUNK = 20.0, 0.25, 0.005, 0.2
+#: Rounds of expectation-maximisation.
+ROUNDS = 20
 
 
 def _without(column: Column, characters: str) -> Column:
@@ -117,32 +120,43 @@ def posterior(model: dict) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(F.least(junk - clean, F.lit(700.0))))
 
 
-def estimate(patterns: DataFrame, names: list[str], rounds: int = 20) -> dict:
-    """Expectation-maximisation over (vote pattern, n); a Beta prior keeps the classes from changing places."""
+def estimate(patterns: list[tuple[tuple, int]], names: list[str], rounds: int = ROUNDS) -> dict:
+    """Expectation-maximisation over (votes, n); a Beta prior keeps the classes from changing places."""
     model = {"junk": JUNK, "rules": {n: (ON_JUNK, ON_CLEAN) for n in names}}
+    rate = lambda hit, all_, at: (hit + PRIOR * at) / (all_ + PRIOR)
     for _ in range(rounds):
-        good = posterior(model)
-        p = patterns.withColumns({"g": F.col("n") * good, "b": F.col("n") * (1 - good)})
-        sums = [F.sum("g").alias("g"), F.sum("b").alias("b")]
-        for n in names:
-            for side in "gb":
-                sums += [F.sum(F.when(F.col(n) == 1, F.col(side))).alias(f"{side}1{n}"), F.sum(F.when(F.col(n).isNotNull(), F.col(side))).alias(f"{side}n{n}")]
-        s = {k: v or 0.0 for k, v in p.agg(*sums).first().asDict().items()}
-        rate = lambda hit, all_, at: (hit + PRIOR * at) / (all_ + PRIOR)
-        new = {"junk": rate(s["b"], s["g"] + s["b"], JUNK), "rules": {n: (rate(s[f"b1{n}"], s[f"bn{n}"], ON_JUNK), rate(s[f"g1{n}"], s[f"gn{n}"], ON_CLEAN)) for n in names}}
-        moved = max(abs(new["rules"][n][k] - model["rules"][n][k]) for n in names for k in (0, 1))
-        model = new
-        if moved < 1e-5:
-            break
+        # For junk, then clean: documents, and for each rule votes for junk and votes at all.
+        documents, hits, said = [0.0, 0.0], [[0.0] * len(names) for _ in "jc"], [[0.0] * len(names) for _ in "jc"]
+        for votes, n in patterns:
+            sums = [math.log(model["junk"]), math.log(1 - model["junk"])]
+            for vote, rates in zip(votes, model["rules"].values()):
+                if vote is not None:
+                    sums = [s + math.log(r if vote else 1 - r) for s, r in zip(sums, rates)]
+            good = 1 / (1 + math.exp(min(sums[0] - sums[1], 700.0)))
+            for side, share in enumerate((n * (1 - good), n * good)):
+                documents[side] += share
+                for i, vote in enumerate(votes):
+                    if vote is not None:
+                        said[side][i] += share
+                        hits[side][i] += share * vote
+        model = {"junk": rate(documents[0], sum(documents), JUNK), "rules": {n: (rate(hits[0][i], said[0][i], ON_JUNK), rate(hits[1][i], said[1][i], ON_CLEAN)) for i, n in enumerate(names)}}
     return model
 
 
+def _spread(docs: DataFrame) -> DataFrame:
+    """docs dealt anew where they come in fewer parts than there are cores; reads no column to tell."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    parts = docs.select(F.spark_partition_id().alias("part")).distinct().count()
+    return docs.repartition(cores) if parts < cores else docs
+
+
 def _judged(docs: DataFrame, text_col: str, columns: list[str]) -> tuple[DataFrame, dict]:
     votes = rules()
-    scored = features(docs, text_col).withColumns(votes)
+    scored = features(_spread(docs), text_col).withColumns(votes)
     scored = settle(scored.select(*columns, *[f"q_{c}" for c in COUNTS], *votes), "quality")
-    patterns = settle(scored.groupBy(*votes).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "votes")
-    return scored, estimate(patterns, list(votes))
+    # At most 3 ** rules rows.
+    patterns = [(tuple(r)[:-1], r["n"]) for r in scored.groupBy(*votes).agg(F.count(F.lit(1)).alias("n")).collect()]
+    return scored, estimate(sorted(patterns, key=str), list(votes))
 
 
 def _kept(model: dict) -> tuple[Column, Column]:
@@ -154,13 +168,15 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, the base counts, base_failed, kept, quality) for each row."""
     scored, model = _judged(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("q_text")), "q_text", ["doc_id"])
     failed, kept = _kept(model)
-    return scored.select("doc_id", *[F.col(f"q_{c}").alias(c) for c in COUNTS], failed.alias("base_failed"), kept.alias("kept"), posterior(model).alias("quality"))
+    return scored.select("doc_id", *[F.col(f"q_{c}").alias(c) for c in COUNTS], failed.alias("base_failed"), kept.alias("kept"), F.round(posterior(model), 6).alias("quality"))
 
 
 def keep_quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs that are kept, with the columns of docs; these must not begin with q_ or v_."""
-    scored, model = _judged(docs, text_col, docs.columns)
-    return scored.where(_kept(model)[1]).select(*docs.columns)
+    """The rows of docs that are kept, with the columns of docs."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names)])
+    scored, model = _judged(plain, names[docs.columns.index(text_col)], names)
+    return scored.where(_kept(model)[1]).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
