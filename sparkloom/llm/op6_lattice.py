@@ -62,10 +62,9 @@ class Lattice:
         text, found, longest, exp = "▁" + word, self.log.get, self.longest, math.exp
         forward = [0.0]
         for end in range(1, len(text) + 1):
-            terms = [forward[end - 1] + sum(self.bytes[b] for b in text[end - 1].encode("utf-8", "surrogatepass"))]
-            for start in range(end - longest if end > longest else 0, end):
-                if (p := found(text[start:end])) is not None:
-                    terms.append(forward[start] + p)
+            terms = [forward[start] + p for start in range(end - longest if end > longest else 0, end) if (p := found(text[start:end])) is not None]
+            if found(text[end - 1]) is None:
+                terms.append(forward[end - 1] + sum(self.bytes[b] for b in text[end - 1].encode("utf-8", "surrogatepass")))
             top = max(terms)
             forward.append(top + math.log(sum([exp(t - top) for t in terms])) if len(terms) > 1 else top)
         return forward[-1]
@@ -133,6 +132,7 @@ def score_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id
     tokens, kinds = learned.pop(-2, 0) + ends, learned.pop(-3, 0) + (ends > 0)
     learned[-1] = ends
     whole = math.log10(tokens + 0.1 * (kinds + 1))
+    score_end = Lattice(vocabulary_path, learned).end / math.log(10)
 
     def answer(key, table):
         lists, total = _summed(table)
@@ -158,7 +158,6 @@ def score_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id
         ids = table["id"].to_pylist()
         rows = {n: [] for n in ("n_tokens", "n_known", "base_score", "score")}
         base_end = math.log10(ends + 0.1) - whole
-        score_end = Lattice(vocabulary_path, learned).end / math.log(10)
         for body in table["body"].to_pylist():
             words = body.lower().split()
             at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
