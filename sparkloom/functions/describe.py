@@ -11,6 +11,7 @@ import numpy as np
 class Descriptor:
     """Settings of a variant; the two below are the ones in use."""
 
+    #: Edge of the resized image, bins of hue, saturation and value, orientations, cell and block of gradients.
     size: int = 96
     hsv_bins: tuple[int, int, int] = (10, 4, 4)
     orientations: int = 9
@@ -18,10 +19,12 @@ class Descriptor:
     block: int = 2
     luma: bool = False
     epsilon: float = 1e-8
+    #: Whether images are turned as their Exif orientation states.
+    exif: bool = False
 
 
 MAIN = Descriptor()
-WORKSHOP = Descriptor(hsv_bins=(8, 8, 8), luma=True, epsilon=0.0)
+WORKSHOP = Descriptor(hsv_bins=(8, 8, 8), luma=True, epsilon=0.0, exif=True)
 #: The luma weights of red, green and blue.
 LUMA = np.array([0.2125, 0.7154, 0.0721])
 

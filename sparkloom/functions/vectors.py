@@ -29,16 +29,22 @@ def standardise(v: Column, mean: Column, deviation: Column) -> Column:
     return F.zip_with(centred, deviation, lambda x, s: x / F.when(s == 0, 1.0).otherwise(s))
 
 
+def once(of: Column, value: Column, then) -> Column:
+    """then(of, value), with value computed once and not anew for each element that a lambda in then visits."""
+    return F.transform(F.array(F.struct(of.alias("of"), value.alias("value"))), lambda s: then(s.getField("of"), s.getField("value")))[0]
+
+
 def l1_normalise(v: Column, epsilon: float = 1e-8) -> Column:
     """v / (sum + epsilon); with epsilon 0, v where the sum is not positive."""
     if epsilon:
-        return F.transform(v, lambda x: x / (total(v) + epsilon))
-    return F.when(total(v) > 0, F.transform(v, lambda x: x / total(v))).otherwise(v)
+        return once(v, total(v) + epsilon, lambda u, s: F.transform(u, lambda x: x / s))
+    return once(v, total(v), lambda u, s: F.when(s > 0, F.transform(u, lambda x: x / s)).otherwise(u))
 
 
 def softmax(v: Column) -> Column:
-    shifted = F.transform(v, lambda x: F.exp(x - F.array_max(v)))
-    return F.transform(shifted, lambda x: x / total(shifted))
+    """exp(x - max) over their sum; each element is visited a fixed number of times."""
+    shifted = once(v, F.array_max(v), lambda u, m: F.transform(u, lambda x: F.exp(x - m)))
+    return F.transform(F.array(shifted), lambda e: once(e, total(e), lambda u, s: F.transform(u, lambda x: x / s)))[0]
 
 
 def two_columns(decision: Column) -> Column:
@@ -46,10 +52,6 @@ def two_columns(decision: Column) -> Column:
     return F.array(-decision, decision)
 
 
-def concat_groups(*groups: Column | str) -> Column:
-    return F.concat(*groups)
-
-
 def bin_of(value: Column, low: float, high: float, bins: int) -> Column:
     """Bin number of a value in [low, high]; the last bin is closed on the right, values outside have none."""
     raw = F.floor((value - low) / (high - low) * bins)

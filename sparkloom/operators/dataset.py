@@ -59,14 +59,27 @@ def check(dev: DataFrame, test: DataFrame) -> list[str]:
     return notes + [f"class without test examples: {r[0]}" for r in classes_not_in(dev, test).collect()]
 
 
-def holdout_size(n: int, n_classes: int, fraction: float, at_least_classes: bool) -> int:
-    return max(n_classes, math.ceil(fraction * n)) if at_least_classes else math.ceil(fraction * n)
+def holdout_size(n: int, n_classes: int, fraction: float) -> int:
+    """Rows of a hold-out with room for every class."""
+    return max(n_classes, math.ceil(fraction * n))
+
+
+def check_holdout(dev: DataFrame, fraction: float) -> int:
+    """The guards before a hold-out is cut from dev: raises, or returns its size."""
+    stats = count_stats(dev).first()
+    if stats["least"] is None or stats["least"] < 2:
+        raise ValueError("without a test split every class needs at least two examples")
+    if (size := holdout_size(stats["n_rows"], stats["n_classes"], fraction)) >= stats["n_rows"]:
+        raise ValueError("too few examples for a hold-out; add more, or a test split")
+    return size
 
 
 def stratified_split(records: DataFrame, key: str, label: str, fraction: float = 0.2, at_least_classes: bool = False, salt: str = "42") -> DataFrame:
     """records with is_val: exactly ceil(fraction * n) rows, shared among classes by largest remainder.
 
-    Within a class the rows whose salted md5 is least are held out, so the split does not depend on row order.
+    Within a class the rows whose salted md5 is least are held out, so the split does not depend on row order.  Keys are
+    unique; rows without label are left out.  No class is sorted: rows are counted by label and beginning of the md5, and
+    only those of the one beginning that a quota ends in, a 65536th of a class, are ranked.
     """
     counts = records.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     whole = Window.partitionBy()
@@ -77,9 +90,18 @@ def stratified_split(records: DataFrame, key: str, label: str, fraction: float =
     quotas = quotas.withColumn("_floor", F.floor("_share"))
     quotas = quotas.withColumn("_left", F.col("_goal") - F.sum("_floor").over(whole))
     by_remainder = F.row_number().over(Window.orderBy(F.round(F.col("_share") - F.col("_floor"), 9).desc(), label))
-    quotas = quotas.withColumn("_quota", F.col("_floor") + F.when(by_remainder <= F.col("_left"), 1).otherwise(0))
-    place = F.row_number().over(Window.partitionBy(label).orderBy(F.md5(F.concat_ws(":", F.lit(salt), F.col(key).cast("string"))), key))
-    return records.join(quotas.select(label, "_quota"), label).withColumn("is_val", place <= F.col("_quota")).drop("_quota")
+    quotas = quotas.withColumn("_quota", F.col("_floor") + F.when(by_remainder <= F.col("_left"), 1).otherwise(0)).select(label, "_quota")
+    digest = F.md5(F.concat_ws(":", F.lit(salt), F.col(key).cast("string")))
+    part = F.conv(F.substring(digest, 1, 4), 16, 10).cast("int")
+    sums = records.groupBy(label, part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    sums = sums.withColumn("_upto", F.sum("_rows").over(Window.partitionBy(label).orderBy("_part")))
+    edge = sums.join(quotas, label).where("_upto >= _quota AND _upto - _rows < _quota").select(label, "_part", (F.col("_quota") - F.col("_upto") + F.col("_rows")).alias("_need"))
+    place = F.row_number().over(Window.partitionBy(label).orderBy("_digest", key))
+    last = records.select(label, key, digest.alias("_digest"), part.alias("_part")).join(edge, [label, "_part"])
+    last = last.withColumn("_place", place).where("_place = _need").select(F.col(label).alias("_label"), F.struct("_digest", F.col(key).alias("_key")).alias("_last"))
+    # One row for each class; a class without quota has none.
+    found = records.where(F.col(label).isNotNull()).join(last, F.col(label) == F.col("_label"), "left")
+    return found.withColumn("is_val", F.coalesce(F.struct(digest.alias("_digest"), F.col(key).alias("_key")) <= F.col("_last"), F.lit(False))).drop("_label", "_last")
 
 
 def class_weights(records: DataFrame, label: str) -> DataFrame:

@@ -32,6 +32,18 @@ def confusion_wide(cells: DataFrame, indices: list[int], prefix: str = "c") -> D
     return cells.groupBy("true_index").agg(*[F.sum(F.when(F.col("predicted_index") == i, F.col("n")).otherwise(0)).alias(f"{prefix}{i}") for i in indices])
 
 
+def confusion_named(cells: DataFrame, class_names: list[str]) -> DataFrame:
+    """The matrix as it is read: true_class, then a column for each class by name, rows and columns in the order of class_names."""
+    names = F.array(*map(F.lit, class_names))
+    rows = confusion_wide(cells, list(range(len(class_names))), "_c").orderBy("true_index")
+    return rows.select(F.get(names, F.col("true_index").cast("int")).alias("true_class"), *[F.col(f"_c{i}").alias(c) for i, c in enumerate(class_names)])
+
+
+def largest_cell(cells: DataFrame) -> DataFrame:
+    """(largest): the maximum of the matrix."""
+    return cells.agg(F.max("n").alias("largest"))
+
+
 def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LOW_FIRST, HIGH_FIRST = "low", "high"
+#: What a record says of an example.
+RECORD = ["split", "class_name", "file_name", "image_path"]
 
 
 def ranked(scores: DataFrame, ties: str) -> DataFrame:
@@ -39,3 +41,29 @@ def long_confidences(predictions: DataFrame, key: str = "qid") -> DataFrame:
     columns = [c for c in predictions.columns if c.startswith("confidence__")]
     found = predictions.unpivot([key], columns, "class_name", "confidence")
     return found.withColumn("class_name", F.substring_index("class_name", "confidence__", -1))
+
+
+def with_records(predictions: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """predictions, one for each of rows, with the record columns that rows have, before them; the key under its own name."""
+    kept = [c for c in RECORD if c in rows.columns and c != key]
+    records = rows.select(F.col(key).alias("_key"), *kept)
+    found = predictions.join(records, F.col("qid") == F.col("_key"))
+    return found.select(F.col("_key").alias(key), *kept, *[c for c in predictions.columns if c != "qid"])
+
+
+def shown(predictions: DataFrame) -> DataFrame:
+    """The columns of a prediction table that are meant for reading: no path, no first class, which is the predicted one."""
+    names = ["file_name", "true_class", "predicted_class", "is_correct", "top_1_confidence", "top_2_class", "top_2_confidence", "top_3_class", "top_3_confidence"]
+    return predictions.select(*[c for c in names if c in predictions.columns], *[c for c in predictions.columns if c.startswith("confidence__")])
+
+
+def preview(rows: DataFrame, order: str, n: int = 10) -> DataFrame:
+    """The first n rows by order; only these reach one task."""
+    return rows.orderBy(order).limit(n)
+
+
+def one_prediction(predictions: DataFrame, row_number: int, order: str) -> DataFrame:
+    """(class_name, confidence, label): the confidences of the row at a place, from 0, of all rows by order; the highest first, equal ones by class."""
+    row = predictions.orderBy(order).offset(row_number).limit(1)
+    found = long_confidences(row, order).select("class_name", "confidence", F.format_number("confidence", 2).alias("label"))
+    return found.orderBy(F.desc("confidence"), "class_name")

@@ -153,6 +153,34 @@ def confidence_unpivot(spark, sf_dir):
     return _rounded(ranking.long_confidences(wide).where("confidence is not null"), 6, "confidence")
 
 
+def _predictions(spark, sf_dir):
+    scores = _scores(spark, sf_dir)[0][5]
+    return ranking.with_confidences(ranking.wide(scores, ranking.LOW_FIRST), scores, [f"c{i}" for i in range(10)])
+
+
+def first_predictions(spark, sf_dir):
+    """head(5) of the predictions by key."""
+    return _rounded(ranking.preview(_predictions(spark, sf_dir), "qid", 5).select("qid", "predicted_class", "confidence", "is_correct"), 6, "confidence")
+
+
+def one_prediction(spark, sf_dir):
+    """The confidences of the fourth prediction by key, highest first, with their labels."""
+    return _rounded(ranking.one_prediction(_rounded(_predictions(spark, sf_dir), 6, *[f"confidence__c{i}" for i in range(10)]), 3, "qid"), 6, "confidence")
+
+
+def confusion_named(spark, sf_dir):
+    return evaluation.confusion_named(_cells(spark, sf_dir), [f"c{i}" for i in range(10)])
+
+
+def largest_cell(spark, sf_dir):
+    return evaluation.largest_cell(_cells(spark, sf_dir))
+
+
+def preview_records(spark, sf_dir):
+    """The first ten pages by address."""
+    return ranking.preview(_table(spark, sf_dir, "pages").select("page_id", "url"), "page_id", 10)
+
+
 def class_weights(spark, sf_dir):
     return _rounded(dataset.class_weights(_table(spark, sf_dir, "labels"), "quality"), 9, "weight")
 
@@ -191,7 +219,7 @@ def linear_svm(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [dataset_summary, discover_classes, class_count_stats, class_value_counts, unknown_classes, missing_classes, suffix_filter, stratified_split, feature_stats, knn_neighbors, knn_vote, top3_wide_low_tie, top3_wide_high_tie, accuracy_topk, confusion_matrix, confusion_wide, classification_report, report_averages, model_selection, best_model, confidence_unpivot, class_weights, hist_1d, hist_3d, softmax_scores, l1_normalised, logistic_regression, linear_svm]
+    found = [dataset_summary, discover_classes, class_count_stats, class_value_counts, unknown_classes, missing_classes, suffix_filter, stratified_split, feature_stats, knn_neighbors, knn_vote, top3_wide_low_tie, top3_wide_high_tie, accuracy_topk, confusion_matrix, confusion_wide, classification_report, report_averages, model_selection, best_model, confidence_unpivot, first_predictions, one_prediction, confusion_named, largest_cell, preview_records, class_weights, hist_1d, hist_3d, softmax_scores, l1_normalised, logistic_regression, linear_svm]
     return {f.__name__: f for f in found}
 
 

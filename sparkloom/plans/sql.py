@@ -95,6 +95,11 @@ ORACLES = {
     "model_selection": SELECTION + "SELECT * FROM selection",
     "best_model": SELECTION + "SELECT * FROM selection ORDER BY validation_accuracy DESC, model_name LIMIT 1",
     "confidence_unpivot": SCORED + "SELECT qid, class_name, round(p, 6) AS confidence FROM scores",
+    "first_predictions": SCORED + "SELECT qid, 'c' || predicted_index AS predicted_class, round((SELECT max(p) FROM scores s WHERE s.qid = predicted.qid), 6) AS confidence, true_index = predicted_index AS is_correct FROM predicted ORDER BY qid LIMIT 5",
+    "one_prediction": SCORED + "SELECT class_name, round(p, 6) AS confidence, printf('%.2f', round(p, 6)) AS label FROM scores WHERE qid = (SELECT DISTINCT qid FROM scores ORDER BY qid LIMIT 1 OFFSET 3)",
+    "confusion_named": CELLS + "SELECT 'c' || true_index AS true_class, " + ", ".join(f"(sum(n) FILTER (predicted_index = {i}))::BIGINT AS c{i}" for i in range(10)) + " FROM cells GROUP BY true_index",
+    "largest_cell": CELLS + "SELECT max(n) AS largest FROM cells",
+    "preview_records": "SELECT page_id, url FROM pages ORDER BY page_id LIMIT 10",
     "class_weights": "SELECT quality, n, round((sum(n) OVER ())::DOUBLE / (count(*) OVER () * n), 9) AS weight FROM (SELECT quality, count(*) AS n FROM labels GROUP BY 1)",
     "hist_1d": """
         WITH b AS (SELECT least(floor((value - 0) / 100 * 10), 9)::INT AS bin FROM events WHERE value BETWEEN 0 AND 100)

@@ -33,7 +33,7 @@ def test_both_neighbour_plans_agree(spark):
 
     rows = spark.read.parquet(f"{SF}/embeddings.parquet")
     q, t = rows.where("vec_id % 50 = 0"), rows.where("vec_id % 5 <> 0")
-    a = knn.neighbours(q, t, "vec_id", "embedding", 4, block=37).collect()
+    a = knn.neighbours(q, t, "vec_id", "embedding", 4, block=37, tile=5).collect()
     b = knn.neighbours_sql(q, t, "vec_id", "embedding", 4).collect()
     key = lambda r: (r.qid, r.r)
     for x, y in zip(sorted(a, key=key), sorted(b, key=key), strict=True):
