@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import counting
-from .common import fold_set, gram_hashes, in_chunks, n_chunks, settle, total_bytes, word_hashes
+from .common import fold_set, gram_hashes, in_chunks, n_chunks, settle, total_bytes, unused, word_hashes
 from .components import components
 
 #: Longs of the bitmap that neighbours are compared by, and of that used across components.
@@ -258,11 +258,15 @@ def jaccard_join(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, less those whose component holds a smaller id; of rows with one id and component one stays, rows without id stay."""
+    """The rows of docs, less those whose component holds a smaller id; of rows with one id and component one stays, rows without id stay.
+
+    Of rows equal in id and text, but not in other columns, any one stays.
+    """
+    digest = unused(docs, "kept_digest")
     found = _labelled(docs, id_col=id_col, text_col=text_col, **options).where("doc_id = component_id")
     first = found.groupBy("doc_id", F.coalesce(F.col("root").cast("string"), F.col("digest"))).agg(F.min("digest").alias("digest"))
-    first = first.select(F.col("doc_id").alias(id_col), F.col("digest").alias("kept_digest"))
-    rows = docs.withColumn("kept_digest", _digest(text_col)).join(first, [id_col, "kept_digest"], "left_semi").dropDuplicates([id_col, "kept_digest"])
+    first = first.select(F.col("doc_id").alias(id_col), F.col("digest").alias(digest))
+    rows = docs.withColumn(digest, _digest(text_col)).join(first, [id_col, digest], "left_semi").dropDuplicates([id_col, digest])
     return rows.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
 
 

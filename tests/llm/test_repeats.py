@@ -12,20 +12,30 @@ from sparkloom.llm.op4_difference_cover import CoverAnchors, difference_cover_de
 from sparkloom.llm.op9_sparse_suffix import SparseSuffixes, drop_passages, sparse_suffix_dedup
 
 
-def removed(rows, window):
+def removed_words(rows, window):
+    """For each id, which words go."""
     first = {}
     for i, t in rows:
         w = words(t)
         for s in range(len(w) - window + 1):
             k = tuple(w[s : s + window])
             first[k] = min(first.get(k, i), i)
+    found = {}
     for i, t in rows:
         w = words(t)
         gone = [False] * len(w)
         for s in range(len(w) - window + 1):
             if first[tuple(w[s : s + window])] < i:
                 gone[s : s + window] = [True] * window
-        yield i, len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone) if not g)).hexdigest()
+        found[i] = gone
+    return found
+
+
+def removed(rows, window):
+    found = removed_words(rows, window)
+    for i, t in rows:
+        kept = b" ".join(x for x, g in zip(words(t), found[i]) if not g)
+        yield i, len(words(t)), sum(found[i]), hashlib.sha256(kept).hexdigest()
 
 
 @pytest.mark.parametrize("operator, window, fan", [(difference_cover_dedup, 13, 1024), (difference_cover_dedup, 9, 2), (difference_cover_dedup, 13, 3), (sparse_suffix_dedup, 50, 1024), (sparse_suffix_dedup, 20, 2), (sparse_suffix_dedup, 50, 3)])
