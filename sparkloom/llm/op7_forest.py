@@ -9,10 +9,11 @@ listed and none is missed.
 The other vectors go through the forest.
 Trees are fitted on a bounded sample (``sample`` vectors, those whose id hashes lowest): each node draws a random
 direction and splits at the sample's median; vectors within the spill band around it, a fixed share of the node's sample,
-go both ways.  Every vector is then taken down every tree, vectors that share a leaf are compared by cosine in double
-precision, and the links of all leaves are united.  A leaf larger than ``leaf_most`` is split on, by further random
-splits with spill, inside its task.  There are more trees where they are deep.  A link is missed only if neither vector is
-at home with a centre and every tree parts the two.
+go both ways.  Every vector is then taken down every tree.  Where the sample is too small for trees as deep as the table
+needs, leaves of more than ``leaf_most`` vectors are fitted anew, each on a sample of its own, in rounds, so leaves stay
+bounded at any size.  Vectors that share a leaf are compared by cosine in double precision, and the links of all leaves are
+united.  There are more trees where they are deep.  A link is missed only if neither vector is at home with a centre and
+every tree parts the two.
 
 Equal vectors share one representative, so a group of copies costs one vector.
 
@@ -64,6 +65,53 @@ class Tree:
         return row, node
 
 
+DEALT = "size int, tree int, leaf long, id long, copies long, v binary"
+#: Vectors of a leaf's own sample, vectors that a task takes down a leaf's tree, deepest tree of a leaf, rounds at most.
+LEAF_SAMPLE, LEAF_PART, LEAF_DEPTH, LEAF_ROUNDS = 2048, 100_000, 10, 5
+
+
+def deepened(dealt: DataFrame, leaf: int, leaf_most: int, spill: float, seed: int) -> DataFrame:
+    """dealt (size, tree, leaf, id, copies, v) with leaves of more than leaf_most vectors taken apart by trees of their own."""
+    keys, done = ["size", "tree", "leaf"], None
+    names = [c.split()[0] for c in DEALT.split(", ")]
+    vectors = lambda table: _unit([np.frombuffer(v) for v in table["v"].to_pylist()])
+    draws = lambda size, tree, leaf: np.random.default_rng([seed, size, tree, leaf])
+
+    def fit(key, table):
+        size, tree, own = (k.as_py() for k in key)
+        x = vectors(table.sort_by("id"))
+        depth = max(1, min(LEAF_DEPTH, math.ceil(math.log2(table["n"][0].as_py() / leaf)), int(math.log2(max(2, len(x) / 16)))))
+        fitted = Tree(x, depth, spill, draws(size, tree, own))
+        return pa.table({"size": pa.array([size], pa.int32()), "tree": pa.array([tree], pa.int32()), "leaf": pa.array([own], pa.int64()), "n": table["n"].slice(0, 1), "depth": pa.array([depth], pa.int32()), "at": pa.array([fitted.at.tobytes()], pa.binary()), "band": pa.array([fitted.band.tobytes()], pa.binary())})
+
+    def descend(key, table, trees):
+        if not len(table) or not len(trees):
+            return table.slice(0, 0).select(names)
+        size, tree, own = (k.as_py() for k in key[:3])
+        # Directions are drawn again, as they were when the tree was fitted; the sample only sets where it splits.
+        fitted = Tree(np.empty((0, size)), trees["depth"][0].as_py(), spill, draws(size, tree, own))
+        fitted.at, fitted.band = (np.frombuffer(trees[c][0].as_py()) for c in ("at", "band"))
+        row, node = fitted.leaves(vectors(table))
+        found = table.select(names).take(pa.array(row))
+        return found.set_column(2, "leaf", pa.array((own << LEAF_DEPTH + 1) + node + 1, pa.int64()))
+
+    for _ in range(LEAF_ROUNDS):
+        dealt = settle(dealt, "dealt")
+        large = settle(dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaf_most), "large")
+        if large.isEmpty():
+            break
+        small = dealt.join(large, keys, "left_anti").select(*names)
+        done = small if done is None else done.unionByName(small)
+        rows = dealt.join(large, keys)
+        drawn = rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) * F.col("n") < (LEAF_SAMPLE << 30))
+        trees = settle(drawn.groupBy(*keys).applyInArrow(fit, "size int, tree int, leaf long, n long, depth int, at binary, band binary"), "trees")
+        parts = F.ceil(F.col("n") / LEAF_PART).cast("int")
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).groupBy(*keys, "part")
+        trees = trees.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).groupBy(*keys, "part")
+        dealt = rows.cogroup(trees).applyInArrow(descend, DEALT)
+    return dealt if done is None else done.unionByName(dealt)
+
+
 def _halves(x: np.ndarray, own: np.ndarray, most: int, spill: float, rng: np.random.Generator, deep: int = 0):
     """Parts of a large leaf, by further random splits; one that splits do not make smaller stays whole."""
     if len(own) <= most or deep > 40:
@@ -143,7 +191,7 @@ def link_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(usable, v).alias("v"))
     by_vector = settle(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies")), "vectors")
     n = by_vector.count()
-    forests, middles = {}, {}
+    forests, middles, shallow = {}, {}, False
     drawn = by_vector.select(F.col("v")).orderBy(F.xxhash64("first"), "first").limit(sample).toPandas()["v"].tolist() if n else []
     for size in sorted({len(x) for x in drawn}):
         own = _unit([x for x in drawn if len(x) == size])
@@ -152,6 +200,7 @@ def link_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
         own = own[free]
         levels = math.ceil(math.log2(max(1, n * len(own) / len(drawn) / leaf)))
         depth = max(0, min(levels, int(math.log2(max(1, len(own) / 16)))))
+        shallow |= depth < levels
         forests[size] = [Tree(own, depth, spill, np.random.default_rng([seed, size, t])) for t in range(max(trees, math.ceil(trees * levels / 8)))]
     # Cosine of twice the angle of a link, less what rounding may cost.
     reach = 2 * least * least - 1 - 1e-9 if least > 0 else -2.0
@@ -253,7 +302,9 @@ def link_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     met = packed.withColumn("visited", F.col("part") >= F.col("homes")).withColumn("with", F.explode(F.expr("sequence(0, IF(visited, homes, homes + visits) - 1)")))
     met = met.select("size", "centre", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "part", "visited", "ids", "copies", "homeless", "vs")
     dense = settle(met.groupBy("size", "centre", "low", "high").applyInArrow(meet, "id long, root long, others long"), "dense")
-    dealt = placed.where("centre < 0").mapInArrow(deal, "size int, tree int, leaf long, id long, copies long, v binary")
+    dealt = placed.where("centre < 0").mapInArrow(deal, DEALT)
+    if shallow:
+        dealt = deepened(dealt, leaf, leaf_most, spill, seed)
     found = settle(dealt.groupBy("size", "tree", "leaf").applyInArrow(compare, "id long, root long, near array<struct<id:long,copies:long>>"), "near")
     linked = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(dense.select(F.col("id").alias("a"), F.col("root").alias("b"))))
     near = F.array_distinct(F.flatten(F.collect_list("near")))

@@ -350,6 +350,27 @@ def test_forest_dense_group(spark, n):
     assert [got[i].component_id for i in range(n)] == label.tolist()
 
 
+def test_forest_deepened(spark, monkeypatch):
+    """Trees deeper than the sample allows: leaves stay bounded, near pairs stay together in most trees, and recall holds."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((3000, 16))
+    x[1500:] = x[:1500] + 0.08 * rng.standard_normal((1500, 16))
+    one = spark.createDataFrame([(16, t, 0, i, 1, v.tobytes()) for t in range(2) for i, v in enumerate(x)], "size int, tree int, leaf long, id long, copies long, v binary").repartition(4)
+    monkeypatch.setattr(op7_forest, "LEAF_SAMPLE", 300)
+    monkeypatch.setattr(op7_forest, "LEAF_PART", 500)
+    leaves = collections.defaultdict(set)
+    for r in op7_forest.deepened(one, 40, 120, 0.08, 7).select("tree", "leaf", "id").collect():
+        leaves[r.tree, r.leaf].add(r.id)
+    assert max(map(len, leaves.values())) <= 120 and all(set().union(*[s for (t, _), s in leaves.items() if t == tree]) == set(range(3000)) for tree in range(2))
+    assert np.mean([any(i in s and i + 1500 in s for (t, _), s in leaves.items() if t == 0) for i in range(0, 1500, 10)]) > 0.4
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = y @ y.T >= 0.95
+    np.fill_diagonal(near, False)
+    for sample in (400, 3000):
+        got = {r.vec_id: r.n_links for r in op7_forest.link_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), leaf=40, leaf_most=120, sample=sample).collect()}
+        assert 0.9 * near.sum() <= sum(got.values()) <= near.sum() and near.sum() > 2500
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
