@@ -30,8 +30,20 @@ def shared_folder(spark: SparkSession) -> str:
     return LOCAL_FOLDER
 
 
+#: Folders that this process has named in the shared folder.
+_MADE: list[str] = []
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove what this process has settled.  Frames that the operators returned read it, so call this when they have been used."""
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
