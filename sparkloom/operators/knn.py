@@ -34,11 +34,11 @@ def feature_stats(rows: DataFrame, vector: str) -> DataFrame:
     return stats.select((F.col("p") + 1).alias("pos"), F.col("x.mean").alias("mean"), F.sqrt(F.col("x.v") * (F.col("n") - 1) / F.col("n")).alias("deviation"))
 
 
-def standardised(rows: DataFrame, fit: DataFrame, vector: str, out: str = "z") -> DataFrame:
-    """rows with the vector standardised by the statistics of fit alone; these are one row as long as a vector."""
-    stats = feature_stats(fit, vector).agg(F.array_sort(F.collect_list(F.struct("pos", "mean", "deviation"))).alias("s"))
-    stats = stats.select(F.col("s.mean").alias("_m"), F.col("s.deviation").alias("_s"))
-    return rows.crossJoin(F.broadcast(stats)).withColumn(out, V.standardise(V.doubles(vector), F.col("_m"), F.col("_s"))).drop("_m", "_s")
+def standardiser(fit: DataFrame, vector: str):
+    """A function (rows, out) that standardises vectors by the statistics of fit alone; only these, two numbers a position, reach the driver, once."""
+    stats = feature_stats(fit, vector).orderBy("pos").collect()
+    mean, deviation = (F.lit([r[c] for r in stats]).cast("array<double>") for c in ("mean", "deviation"))
+    return lambda rows, out="z": rows.withColumn(out, V.standardise(V.doubles(vector), mean, deviation))
 
 
 def _unit(vectors: pa.ChunkedArray) -> np.ndarray:

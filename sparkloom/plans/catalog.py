@@ -83,7 +83,7 @@ def feature_stats(spark, sf_dir):
 
 def knn_neighbors(spark, sf_dir):
     fit, queries, _ = _parts(spark, sf_dir)
-    return knn.neighbours(*(knn.standardised(x, fit, "embedding") for x in (queries, fit)), "vec_id", "z", 5)
+    return knn.neighbours(*map(knn.standardiser(fit, "embedding"), (queries, fit)), "vec_id", "z", 5)
 
 
 def knn_vote(spark, sf_dir):

@@ -33,8 +33,8 @@ def _indexed(rows: DataFrame, classes: DataFrame) -> DataFrame:
 
 def knn_scores(fit: DataFrame, queries: DataFrame, classes: DataFrame, key: str, vector: str, ks: tuple[int, ...]) -> dict[int, DataFrame]:
     """Scores for each k from one neighbour search; statistics come from the fit rows."""
-    z = [knn.standardised(x, fit, vector) for x in (queries, fit)]
-    near = knn.neighbours(z[0], z[1], key, "z", max(ks))
+    standardise = knn.standardiser(fit, vector)
+    near = knn.neighbours(standardise(queries), standardise(fit), key, "z", max(ks))
     near = near.join(fit.select(F.col(key).alias("tid"), "class_index"), "tid")
     truth = queries.select(F.col(key).alias("qid"), F.col("class_index").alias("true_index"))
     return {k: knn.scores(knn.vote(near, k), truth, classes) for k in ks}
