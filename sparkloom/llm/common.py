@@ -85,7 +85,7 @@ class _Codes(dict):
 
     def room(self) -> None:
         """Forget everything when full; between chunks only, so that places hold while one is read."""
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
             self.digests.clear()
 

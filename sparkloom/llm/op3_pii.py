@@ -237,8 +237,10 @@ def redact_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
         return pd.Series([t if s is None else _redacted(t, s) for t, s in zip(text, spans)], dtype=object)
 
-    # One join, so texts are shuffled once.
-    return rows.join(spans, row, "left").withColumn(text_col, redact(body, F.col(there))).select(*docs.columns)
+    # One join, so texts are shuffled once; only texts with spans go through Python.
+    found = F.col(there).isNotNull()
+    clean = redact(F.when(found, body.cast("string")), F.col(there))
+    return rows.join(spans, row, "left").withColumn(text_col, F.when(found, clean).otherwise(body)).select(*docs.columns)
 
 
 def _redacted(text: str, spans) -> str:
