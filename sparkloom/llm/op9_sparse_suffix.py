@@ -78,14 +78,18 @@ class SparseSuffixes:
             if i != doc:
                 doc, text = i, words.bodies[i].split()
             entry.append(known.setdefault((b" ".join(text[a : b + self.window_words]), left), len(known)))
-        entry = np.array(entry, np.int64)
+        # Sorted: answers name entries by place, and the rows of a chunk come in another order each time it is read.
+        bodies = sorted(known)
+        rank = np.empty(len(known), np.int64)
+        rank[[known[body] for body in bodies]] = np.arange(len(known))
+        entry = rank[np.array(entry, np.int64)]
         least = np.full(len(known), np.iinfo(np.int64).max)
         np.minimum.at(least, entry, ids)
         one = np.empty(len(known), np.int64)
         one[entry] = np.arange(len(at))
         offsets = np.arange(self.width)
         bits = (offsets >= (at - last)[one][:, None]) & (offsets <= (at - first)[one][:, None])
-        return Entries(grams_at(words.hashes, at[one], self.prefix_words), least, bits, list(known), entry, at)
+        return Entries(grams_at(words.hashes, at[one], self.prefix_words), least, bits, bodies, entry, at)
 
     def pack(self, bodies, part: np.ndarray) -> bytes:
         chosen = [bodies[i] for i in part.tolist()]

@@ -35,7 +35,8 @@ SENT_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), *[(n, pa.
 class Entries:
     """What a chunk states: distinct entries, and where in the chunk each occurs.
 
-    Bit o of an entry stands for the window that starts o words before the base of an occurrence.
+    The order of entries follows from what they say, never from the order of rows: a chunk is read twice, and Spark
+    promises no order.  Bit o of an entry stands for the window that starts o words before the base of an occurrence.
     """
 
     ranges: np.ndarray  # uint64 by which entries go to ranges; equal windows have equal ones

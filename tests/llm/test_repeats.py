@@ -4,10 +4,12 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from test_operators import corpus, frame, words
 
 from sparkloom.llm import repeats
+from sparkloom.llm.common import Words
 from sparkloom.llm.op4_difference_cover import CoverAnchors, difference_cover_dedup
 from sparkloom.llm.op9_sparse_suffix import SparseSuffixes, drop_passages, sparse_suffix_dedup
 
@@ -78,6 +80,24 @@ def test_repeats_go_by_anchors_alone(spark, method):
             assert all(got[i] <= most[i] for i in most) and sum(got.values()) <= (sum(most.values()) - 1 if step else 0)
 
 
+@pytest.mark.parametrize("method", [CoverAnchors(13), SparseSuffixes(50, 8)])
+def test_entries_do_not_follow_the_order_of_rows(method):
+    """A chunk is read twice, to send entries and to cut; answers name entries by place."""
+    rows = [(i, t.encode() if isinstance(t, str) else t or b"") for i, t in corpus() if i is not None]
+
+    def stated(rows):
+        table = pa.table({"id": pa.array([i for i, _ in rows], pa.int64()), "body": pa.array([t for _, t in rows], pa.binary())})
+        words = Words(table)
+        found = method.entries(words, method.anchors(words)[0])
+        order, cuts = repeats._order(found, 8)
+        return cuts.tolist(), [(found.ids[k], found.bits[k].tolist(), method.pack(found.bodies, np.array([k]))) for k in order.tolist()]
+
+    want = stated(rows)
+    assert len(want[1]) > 100
+    for seed in range(3):
+        assert stated(random.Random(seed).sample(rows, len(rows))) == want
+
+
 def test_suffixes_compare_words():
     """Neighbours in both orders against every pair of suffixes."""
     rng = random.Random(3)
