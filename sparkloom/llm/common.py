@@ -6,11 +6,13 @@ exactly this rule, so texts travel to Python as binary and are never decoded whe
 
 from __future__ import annotations
 
+import ctypes
 import math
 import uuid
 from functools import cached_property
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +55,17 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# ---------------------------------------------------------------- memory of Python workers
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between stages, beside a JVM that takes its whole heap."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """name, with underscores before it until no column of df is called so, whatever its case."""
     taken = {c.lower() for c in df.columns}

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import counting
-from .common import fold_set, gram_hashes, in_chunks, n_chunks, settle, total_bytes, unused, word_hashes
+from .common import fold_set, give_back, gram_hashes, in_chunks, n_chunks, settle, total_bytes, unused, word_hashes
 from .components import components
 
 #: Longs of the bitmap that neighbours are compared by, and of that used across components.
@@ -99,6 +99,8 @@ def profiles(dealt: DataFrame, firsts: DataFrame, size: int, percent: int, bucke
     def send(key, table, marks):
         sets = [t for _, t in chosen(table, marks)]
         h48, counts = np.unique(np.concatenate(sets) >> np.uint64(16), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        del sets
+        give_back()
         return counting.send(key[0].as_py(), h48, counts, buckets)
 
     def profile(key, table, answers):
@@ -113,7 +115,10 @@ def profiles(dealt: DataFrame, firsts: DataFrame, size: int, percent: int, bucke
             b = [*bitmap(tokens, NARROW).tolist(), *bitmap(tokens, WIDE).tolist()]
             for name, value in zip(rows, (doc, len(tokens), tokens[c > 1].tobytes(), *b, index_keys(tokens, c, percent))):
                 rows[name].append(value)
-        return pa.table({k: pa.array(v, pa.binary() if k == "tokens" else pa.list_(pa.int64()) if k == "keys" else pa.int64()) for k, v in rows.items()})
+        found = pa.table({k: pa.array(v, pa.binary() if k == "tokens" else pa.list_(pa.int64()) if k == "keys" else pa.int64()) for k, v in rows.items()})
+        del sets, rows
+        give_back()
+        return found
 
     sent = dealt.groupBy("chunk").cogroup(firsts.groupBy("chunk")).applyInArrow(send, counting.SENT)
     answers = counting.shared_hashes(sent)
@@ -137,6 +142,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             over = np.array([len(np.intersect1d(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), assume_unique=True)) for p, q in zip(x, y)], np.int64)
             union = batch.column("n").to_numpy() + batch.column("m").to_numpy() - over
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(100 * over >= percent * union))
+        give_back()
 
     one = sets.select(F.col("doc").alias("a"), "n", F.col("tokens").alias("x"))
     two = sets.select(F.col("doc").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("y"))

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, unused
+from .common import give_back, settle, unused
 
 #: Kinds in the order of equal starts.
 KINDS = ["email", "ip", "card", "phone", "secret"]
@@ -158,6 +158,7 @@ def _examined(docs: DataFrame, id_type: str, keep: str) -> DataFrame:
                 part = batch.slice(at, 1000)
                 rows = [examine(x) for x in part.column("body").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("row"), part.column("id"), *[pa.array([r[n] for r in rows], t) for n, t in fields]], ["row", "id", *[n for n, _ in fields]])
+        give_back()
 
     return docs.mapInArrow(look, f"row long, id {id_type}, {FOUND}")
 

@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -9,7 +11,7 @@ import pytest
 from test_operators import corpus, frame, words
 
 from sparkloom.llm import repeats
-from sparkloom.llm.common import Words
+from sparkloom.llm.common import Words, give_back
 from sparkloom.llm.op4_difference_cover import CoverAnchors, difference_cover_dedup
 from sparkloom.llm.op9_sparse_suffix import SparseSuffixes, drop_passages, sparse_suffix_dedup
 
@@ -98,6 +100,22 @@ def test_entries_do_not_follow_the_order_of_rows(method):
         assert stated(random.Random(seed).sample(rows, len(rows))) == want
 
 
+def test_workers_give_memory_back():
+    """What a chunk has freed leaves the process, although smaller things allocated later stay."""
+    private = lambda: int(re.search(r"Private_Dirty:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+    before, held = private(), []
+    for _ in range(2000):
+        freed = [bytes(1000) for _ in range(50)]
+        held.append(bytes(1000))
+        del freed[::2]
+        held.append(freed)
+    for x in held[1::2]:
+        x.clear()
+    left = private()
+    give_back()
+    assert left - before > 30 and private() - before < (left - before) / 2
+
+
 def test_suffixes_compare_words():
     """Neighbours in both orders against every pair of suffixes."""
     rng = random.Random(3)
